@@ -47,38 +47,40 @@ def held_out(doc_id: str = "doc_id") -> Column:
     )
 
 
-def training_rows(
-    docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int], max_chars: int
+def labelled(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id and y of the labels that a model may learn from: one row per document."""
+    return (
+        labels.where(F.col(label).isNotNull() & ~held_out() & F.col("doc_id").isNotNull())
+        .groupBy("doc_id")
+        .agg(F.max(label).cast("int").alias("y"))
+    )
+
+
+def sample_texts(
+    docs: DataFrame, ids: DataFrame, most: dict[int, int], max_chars: int
 ) -> list[tuple[str, int]]:
-    """A bounded sample of labelled texts outside the held-out fold.
+    """Whole texts of a bounded sample of ``ids`` (doc_id, y), lowest hash of doc_id first.
 
-    At most ``per_class[y]`` documents of class ``y``, lowest hash of doc_id first, and of
-    each class only as many as stay within its share of ``max_chars`` characters of whole
-    texts. Both bounds are parameters, so what reaches the driver doesn't grow with the
-    corpus.
+    At most ``most[y]`` documents of class ``y``, and of each class only as many as stay
+    within its share of ``max_chars`` characters. Both bounds are parameters, so what
+    reaches the driver doesn't grow with the corpus.
     """
-    lab = (
-        labels.where(F.col(label).isin(*per_class) & ~held_out() & F.col("doc_id").isNotNull())
-        .groupBy("doc_id")
-        .agg(F.max(label).alias("y"))
-        .withColumn("h", F.xxhash64("doc_id"))
-    )
     picked = None
-    for y, most in per_class.items():
-        part = lab.where(F.col("y") == y).orderBy("h", "doc_id").limit(most)
+    for y, n in most.items():
+        part = ids.where(F.col("y") == y).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(n)
         picked = part if picked is None else picked.unionByName(part)
-    # At most sum(per_class) rows of three numbers: a proven bound.
+    # sum(most) rows of three numbers: a proven bound.
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     sized = rows.select("doc_id", "h", "y", F.length("text").alias("n")).collect()
     keep: list[int] = []
-    for y in per_class:
-        left = max_chars // len(per_class)
+    for y in most:
+        left = max_chars // len(most)
         for r in sorted((r for r in sized if r.y == y), key=lambda r: (r.h, r.doc_id)):
             if (r.n or 0) <= left:
                 left -= r.n or 0
                 keep.append(r.doc_id)
     if not keep:
         return []
-    ids = docs.sparkSession.createDataFrame([(i,) for i in keep], "doc_id long").distinct()
-    got = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "y", "text").collect()
+    wanted = docs.sparkSession.createDataFrame([(i,) for i in keep], "doc_id long").distinct()
+    got = rows.join(F.broadcast(wanted), "doc_id", "left_semi").select("doc_id", "y", "text").collect()
     return [(r.text or "", r.y) for r in sorted(got, key=lambda r: (r.doc_id, r.text or ""))]

@@ -6,16 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnsift.llm import quality_rules
+from tarnsift.llm import bpe, quality_pu, quality_rules, toxicity
 from tarnsift.llm.common import table
 
 
+def tokenizer(name: str) -> str:
+    """Where the installed package of public vocabulary files has ``name``."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op1(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op2(table(spark, sf_dir, "documents"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.op3(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_pu.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality_rules": op2_quality_rules}
+    found = (op1_toxicity, op2_quality_rules, op3_bpe, op8_quality_classifier)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
