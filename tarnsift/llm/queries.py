@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnsift.llm import bpe, quality_pu, quality_rules, toxicity
+from tarnsift.llm import (
+    bpe,
+    packing,
+    quality_pu,
+    quality_rules,
+    sharding,
+    simhash,
+    substring_dedup,
+    token_store,
+    toxicity,
+    trie_dedup,
+)
 from tarnsift.llm.common import table
 
 
@@ -29,14 +40,49 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op3(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.op4(table(spark, sf_dir, "documents"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.op5(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op6(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.op7(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_pu.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.op9(table(spark, sf_dir, "documents"))
+
+
+def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_dedup.op10(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_quality_rules, op3_bpe, op8_quality_classifier)
+    found = (
+        op1_toxicity,
+        op2_quality_rules,
+        op3_bpe,
+        op4_fingerprints,
+        op5_substring_dedup,
+        op6_packing,
+        op7_token_store,
+        op8_quality_classifier,
+        op9_sharding,
+        op10_simhash_dedup,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.sql()}
+    return {"op2_quality_rules": quality_rules.sql(), "op5_substring_dedup": substring_dedup.sql()}
