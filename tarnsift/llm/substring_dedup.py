@@ -42,9 +42,9 @@ WINDOW = 20
 SEED = 10
 SPAN = WINDOW - SEED + 1
 #: Edges that a map task compares at once, bytes of text hashed at once, text sent at once.
-FLUSH = 3_000_000
+FLUSH = 800_000
 BYTES = 1_000_000
-SEND = 16_000_000
+SEND = 8_000_000
 _NULL = -(1 << 63)
 
 _SPACE = np.zeros(256, bool)
@@ -106,15 +106,15 @@ def edges(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     start = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
     at = first[of] + start
     if not len(at):
-        return of, start, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return of, start, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint8)
     whole = _ranges(h, at, at + WINDOW, _STEP)
     k = np.arange(len(h) - SEED + 1)
     seeds = _ranges(h, k, k + SEED, _STEP)
-    least, offset = seeds[at], np.zeros(len(at), np.int64)
+    least, offset = seeds[at], np.zeros(len(at), np.uint8)
     for o in range(1, SPAN):
         x = seeds[at + o]
         less = x < least
-        least, offset = np.where(less, x, least), np.where(less, o, offset)
+        least, offset = np.where(less, x, least), np.where(less, np.uint8(o), offset)
     return of, start, whole, least, offset
 
 
@@ -170,7 +170,7 @@ def _records(batch: list[tuple[np.ndarray, ...]], buckets: int, parts: int) -> I
     anchor = pos + offset
     new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])])
     at = np.flatnonzero(new)
-    bits = np.left_shift(1, SPAN - 1 - offset)
+    bits = np.left_shift(1, SPAN - 1 - offset.astype(np.int64))
     mask = np.add.reduceat(bits, at).astype("<u2")
     low = whole.astype("<u4")  # the lower 32 bits
     seed, r_doc, r_anchor = least[at], doc[at], anchor[at]
