@@ -21,7 +21,8 @@ Two shuffles: records by minimizer, and compressed texts with their repeats by d
 Defined cases: a null text counts as empty, has no word and keeps none; a null doc_id comes
 first; rows that share a doc_id count as later parts of one document, in order of text; texts
 of fewer than WINDOW words keep all; an empty table gives an empty result; further columns are
-dropped by ``spans`` and ``kept``, and stay as they are in ``rewrite``.
+dropped by ``spans`` and ``kept``, and stay as they are in ``rewrite``, but for the names __doc
+and __copy.
 """
 
 from __future__ import annotations
@@ -228,17 +229,28 @@ def _found(blobs: list[bytes], parts: int) -> Iterator[tuple[int, bytes]]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc (long), copy (its place among rows of one doc_id) and text as bytes."""
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL).cast("long")).alias("doc")
-    rows = docs.select(doc, F.coalesce("text", F.lit("")).alias("text"))
-    shared = rows.groupBy("doc").count().where("count > 1").limit(1).count()
-    order = Window.partitionBy("doc").orderBy("text")
+    """``docs`` with __doc (doc_id as a number) and __copy (its place among rows of one doc_id)."""
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL).cast("long"))
+    rows = docs.withColumn("__doc", doc)
+    shared = rows.groupBy("__doc").count().where("count > 1").limit(1).count()
+    order = Window.partitionBy("__doc").orderBy(F.coalesce("text", F.lit("")))
     copy = F.row_number().over(order) - 1 if shared else F.lit(0)
-    return rows.select("doc", copy.cast("long").alias("copy"), F.encode("text", "UTF-8").alias("text"))
+    return rows.withColumn("__copy", copy.cast("long"))
 
 
-def _joined(docs: DataFrame) -> tuple[DataFrame, int]:
-    """part, kind and blob: texts (kind 0) and repeated edges (kind 1) of each document part."""
+def _texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def _stored(t: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+def _joined(docs: DataFrame) -> DataFrame:
+    """part, kind and blob: rows (kind 0) and repeated edges (kind 1) of each document part."""
     spark = docs.sparkSession
     parts = buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = _keyed(docs)
@@ -254,9 +266,9 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, int]:
             )
 
         for batch in batches:
-            doc = batch.column("doc").to_numpy()
-            copy = batch.column("copy").to_numpy()
-            texts = batch.column("text").to_pylist()
+            doc = batch.column("__doc").to_numpy()
+            copy = batch.column("__copy").to_numpy()
+            texts = _texts(batch.column("text"))
             a = 0
             while a < len(texts):
                 b, size = a, 0
@@ -281,60 +293,58 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, int]:
             rows += _found(df["blob"][~done].tolist(), parts)
         return pd.DataFrame(rows, columns=["part", "blob"]).assign(kind=1)[["part", "kind", "blob"]]
 
-    def send_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
-        size = 0
-
-        def send() -> pa.RecordBatch:
-            part = _part(np.array([d for d, _, _ in held]), parts)
-            of: dict[int, list[tuple[int, int, bytes]]] = {}
-            for p, x in zip(part.tolist(), held, strict=True):
-                of.setdefault(p, []).append(x)
-            blobs = [
-                _pack([np.array([x[k] for x in v], "<i8") for k in (0, 1)] + [np.array([len(x[2]) for x in v], "<i8")],
-                      ZstdCompressor(level=3).compress(b"".join(x[2] for x in v)))
-                for v in of.values()
-            ]
+    def send_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def send(t: pa.Table) -> pa.RecordBatch:
+            part = _part(t.column("__doc").to_numpy(), parts)
+            order = np.argsort(part, kind="stable")
+            part = part[order]
+            cut = np.flatnonzero(np.diff(part, prepend=-1))
+            blobs = [_stored(t.take(order[a:b])) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(part)], strict=True)]
             return pa.RecordBatch.from_arrays(
-                [pa.array(list(of), pa.int32()), pa.array([0] * len(of), pa.int32()), pa.array(blobs, pa.binary())],
+                [pa.array(part[cut], pa.int32()), pa.array([0] * len(cut), pa.int32()), pa.array(blobs, pa.binary())],
                 names=["part", "kind", "blob"],
             )
 
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for x in zip(*(batch.column(c).to_pylist() for c in ("doc", "copy", "text")), strict=True):
-                held.append(x)
-                size += len(x[2])
-                if size >= SEND:
-                    yield send()
-                    held, size = [], 0
+            step = max(1, batch.num_rows * SEND // max(batch.nbytes, 1))
+            for a in range(0, batch.num_rows, step):
+                held.append(batch.slice(a, step))
+                if sum(b.nbytes for b in held) >= SEND:
+                    yield send(pa.Table.from_batches(held))
+                    held = []
         if held:
-            yield send()
+            yield send(pa.Table.from_batches(held))
 
-    records = keyed.mapInArrow(deal, "bucket int, part int, blob binary")
+    slim = keyed.select("__doc", "__copy", "text")
+    records = slim.mapInArrow(deal, "bucket int, part int, blob binary")
     repeats = records.groupBy("bucket").applyInPandas(match, "part int, kind int, blob binary")
-    return keyed.mapInArrow(send_texts, "part int, kind int, blob binary").unionByName(repeats), parts
+    return keyed.mapInArrow(send_rows, "part int, kind int, blob binary").unionByName(repeats)
 
 
-def _each(df: pd.DataFrame):
-    """doc, copy, words, and the starts and sources of repeated edges, per document of a part."""
-    told = [_unpack(b, ["<i8"] * 4)[0] for b in df["blob"][df["kind"] == 1]]
+def _each(table: pa.Table):
+    """Of a document part, runs of its rows as a table, each with a list for its rows: words,
+    and the starts and sources (doc_id, offset) of repeated edges."""
+    kind, blobs = table.column("kind").to_pylist(), table.column("blob")
+    told = [_unpack(blobs[k].as_py(), ["<i8"] * 4)[0] for k, x in enumerate(kind) if x == 1]
     doc, pos, src, off = (np.concatenate(x) for x in zip(*told, strict=True)) if told else [np.zeros(0, np.int64)] * 4
-    copy = pos >> 32
+    del told
     order = np.lexsort((pos, doc))
-    doc, pos, copy, src, off = (x[order] for x in (doc, pos, copy, src, off))
-    for blob in df["blob"][df["kind"] == 0]:
-        (docs, copies, sizes), raw = _unpack(blob, ["<i8"] * 3)
-        text = memoryview(ZstdDecompressor().decompress(raw)) if len(docs) else memoryview(b"")
+    doc, pos, src, off = (x[order] for x in (doc, pos, src, off))
+    for k, x in enumerate(kind):
+        if x == 1:
+            continue
+        rows = pa.ipc.open_stream(blobs[k].as_py()).read_all()
+        docs = rows.column("__doc").to_numpy()
         lo, hi = np.searchsorted(doc, docs), np.searchsorted(doc, docs, "right")
-        at = 0
-        for k, (d, c, n) in enumerate(zip(docs.tolist(), copies.tolist(), sizes.tolist(), strict=True)):
-            mine = slice(int(lo[k]), int(hi[k]))
-            p, s, o = pos[mine], src[mine], off[mine]
+        out = []
+        for r, (c, text) in enumerate(zip(rows.column("__copy").to_pylist(), _texts(rows.column("text")), strict=True)):
+            p, s, o = (v[lo[r] : hi[r]] for v in (pos, src, off))
             if len(p):
-                own = copy[mine] == c
+                own = (p >> 32) == c
                 p, s, o = p[own], s[own], o[own]
-            yield d, c, bytes(text[at : at + n]).split(), p - (c << 32), s, o + (c << 32)
-            at += n
+            out.append((text.split(), p - (c << 32), s, o + (c << 32)))
+        yield rows, out
 
 
 def _covered(n: int, starts: np.ndarray) -> np.ndarray:
@@ -345,65 +355,84 @@ def _covered(n: int, starts: np.ndarray) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def kept(docs: DataFrame, text: bool = True) -> DataFrame:
-    """doc_id, copy, n_words, n_removed and kept: the words left, joined by one space (or with
-    ``text`` false its SHA-256 in lower-case hexadecimal)."""
+def _left(words: list[bytes], starts: np.ndarray) -> list[bytes]:
+    if not len(starts):
+        return words
+    return [w for w, gone in zip(words, _covered(len(words), starts).tolist(), strict=True) if not gone]
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for d, c, words, starts, _, _ in _each(df):
-            n = len(words)
-            if len(starts):
-                words = [w for w, gone in zip(words, _covered(n, starts).tolist(), strict=True) if not gone]
-            left = b" ".join(words)
-            out.append((None if d == _NULL else d, c, n, n - len(words), left.decode("utf-8") if text else sha256(left).hexdigest()))
-        return pd.DataFrame(out, columns=["doc_id", "copy", "n_words", "n_removed", "kept"]).astype({"doc_id": "Int64"})
 
-    rows, _ = _joined(docs)
-    return rows.groupBy("part").applyInPandas(run, "doc_id long, copy long, n_words long, n_removed long, kept string")
+def kept(docs: DataFrame, digest: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed and kept: the words left, joined by one space (or with
+    ``digest`` the SHA-256 of that in lower-case hexadecimal)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cols: list[list] = [[], [], [], []]
+        for rows, each in _each(table):
+            cols[0] += [None if d == _NULL else d for d in rows.column("__doc").to_pylist()]
+            for words, starts, _, _ in each:
+                left = _left(words, starts)
+                text = b" ".join(left)
+                cols[1].append(len(words))
+                cols[2].append(len(words) - len(left))
+                cols[3].append(sha256(text).hexdigest() if digest else text.decode("utf-8"))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_words", "n_removed", "kept"])
+
+    rows = _joined(docs.select("doc_id", "text"))
+    return rows.groupBy("part").applyInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def spans(docs: DataFrame, least_edges: int = 1) -> DataFrame:
     """The repeated paths: doc_id, start and n_words of a span, and the doc_id and start of
     the text that it repeats, each of ``least_edges`` neighbouring edges or more."""
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
+    def run(table: pa.Table) -> pa.Table:
         out = []
-        for d, c, _, p, s, o in _each(df):
-            if not len(p):
-                continue
-            new = np.concatenate([[True], (np.diff(p) != 1) | (np.diff(s) != 0) | (np.diff(o) != 0)])
-            at = np.flatnonzero(new)
-            for a, n in zip(at.tolist(), np.diff(np.append(at, len(p))).tolist(), strict=True):
-                if n >= least_edges:
-                    source = int(p[a] + o[a])
-                    out.append((None if d == _NULL else d, int(p[a]), n + WINDOW - 1, None if s[a] == _NULL else int(s[a]), source & 0xFFFFFFFF))
-        cols = ["doc_id", "start", "n_words", "source_doc_id", "source_start"]
-        return pd.DataFrame(out, columns=cols).astype({"doc_id": "Int64", "source_doc_id": "Int64"})
-
-    rows, _ = _joined(docs)
-    return rows.groupBy("part").applyInPandas(
+        for rows, each in _each(table):
+            for d, (_, p, s, o) in zip(rows.column("__doc").to_pylist(), each, strict=True):
+                if not len(p):
+                    continue
+                at = np.flatnonzero(np.concatenate([[True], (np.diff(p) != 1) | (np.diff(s) != 0) | (np.diff(o) != 0)]))
+                for a, n in zip(at.tolist(), np.diff(np.append(at, len(p))).tolist(), strict=True):
+                    if n >= least_edges:
+                        source = None if s[a] == _NULL else int(s[a])
+                        out.append((None if d == _NULL else d, int(p[a]), n + WINDOW - 1, source, int(p[a] + o[a]) & 0xFFFFFFFF))
+        cols = zip(*out, strict=True) if out else ((),) * 5
+        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "n_words", "source_doc_id", "source_start"])
+
+    rows = _joined(docs.select("doc_id", "text"))
+    return rows.groupBy("part").applyInArrow(
         run, "doc_id long, start long, n_words long, source_doc_id long, source_start long"
     )
 
 
-def rewrite(docs: DataFrame, updated: dict[str, str] | None = None) -> DataFrame:
-    """``docs`` with text replaced by the words left, where any were removed. ``updated``:
-    SQL over the new text for columns that follow from it. Of rows that share a doc_id, each
-    is put back by the order of its text."""
-    left = kept(docs).where("n_removed > 0").select("doc_id", "copy", "kept")
-    order = Window.partitionBy("doc_id").orderBy(F.coalesce("text", F.lit("")))
-    rows = docs.withColumn("copy", F.row_number().over(order).cast("long") - 1)
-    match = rows["doc_id"].eqNullSafe(left["doc_id"]) & (rows["copy"] == left["copy"])
-    both = rows.join(left, match, "left").select(*[rows[c] for c in docs.columns], left["kept"])
-    new = both.withColumn("text", F.coalesce("kept", "text"))
-    for c, sql in (updated or {}).items():
-        new = new.withColumn(c, F.when(F.col("kept").isNotNull(), F.expr(sql)).otherwise(F.col(c)))
-    return new.select(*docs.columns)
+def rewrite(docs: DataFrame) -> DataFrame:
+    """``docs`` with text replaced by the words left, joined by one space, in the rows that
+    lose any; the other rows and columns are as they were."""
+    names = docs.columns
+
+    def run(table: pa.Table) -> pa.Table:
+        out = []
+        for rows, each in _each(table):
+            texts = rows.column("text").to_pylist()
+            for r, (words, starts, _, _) in enumerate(each):
+                if len(starts):
+                    texts[r] = b" ".join(_left(words, starts)).decode("utf-8")
+            kind = rows.schema.field("text").type
+            out.append(rows.set_column(rows.schema.get_field_index("text"), "text", pa.array(texts, kind)).select(names))
+        return pa.concat_tables(out) if out else empty(table)
+
+    def empty(_: pa.Table) -> pa.Table:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        return to_arrow_schema(schema).empty_table()
+
+    schema = docs.schema
+    return _joined(docs).groupBy("part").applyInArrow(run, schema)
 
 
 def op5(docs: DataFrame) -> DataFrame:
-    return kept(docs.select("doc_id", "text"), text=False).select(
+    return kept(docs, digest=True).select(
         "doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256")
     )
 
