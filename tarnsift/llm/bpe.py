@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tarnsift.llm.tokens import MEMO, Coder, byte_symbols, spans, u32
+from tarnsift.llm.tokens import MEMO, Coder, Memo, byte_symbols, spans, u32
 
 
 class PairIndexBpe(Coder):
@@ -62,27 +62,31 @@ class PairIndexBpe(Coder):
         self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.special_id, key=len, reverse=True))) + ")")
         self.back = back
 
-    def new_memo(self) -> dict[str, bytes]:
-        return {}
+    def new_memo(self) -> Memo:
+        return Memo(lambda w: u32(next(self.merge([w.encode("utf-8")]))))
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text, in order; the unseen pre-tokens of a block are one index."""
         for part in spans(texts):
             cut = [self.pieces(t) for t in part]
-            seen = set(chain.from_iterable(c for c in cut if c))
-            new = seen - self.memo.keys()
-            if self.memo and len(self.memo) + len(new) > MEMO:
-                self.memo.clear()
-                new = seen
-            self.learn(new)
+            self.learn(set(chain.from_iterable(c for c in cut if c)) - self.memo.keys())
             get = self.memo.__getitem__
             for t, c in zip(part, cut, strict=True):
                 yield self.whole(t) if c is None else b"".join(map(get, c))
 
     def learn(self, words: set[str]) -> None:
-        order = list(words)
+        """Keep the ids of ``words``, none of them in the memo: one index for all unknown."""
+        memo = self.memo
+        if len(memo) + len(words) > MEMO // 2:
+            memo.turn()
+        order = []
+        for w in words:
+            if (ids := memo.old.get(w)) is None:
+                order.append(w)
+            else:
+                memo[w] = ids
         for w, ids in zip(order, self.merge([w.encode("utf-8") for w in order]), strict=True):
-            self.memo[w] = u32(ids)
+            memo[w] = u32(ids)
 
     def merge(self, words: list[bytes]) -> Iterator[list[int]]:
         """The ids of each word, all words merged together."""

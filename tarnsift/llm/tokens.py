@@ -12,13 +12,15 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-#: Distinct pre-tokens that a worker keeps; beyond it the memo starts anew.
-MEMO = 500_000
+#: Distinct pre-tokens that a worker keeps, in two generations of half as many.
+MEMO = 900_000
 #: Characters of text cut into pre-tokens at a time.
 SPAN = 1_000_000
 LIMIT = 0x300
@@ -78,6 +80,28 @@ def u32(ids) -> bytes:
     return np.asarray(ids, dtype="<u4").tobytes()
 
 
+class Memo(dict):
+    """Ids by pre-token. What isn't known comes from the generation before or from ``make``;
+    a full generation becomes the one before, so pre-tokens in use stay."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= MEMO // 2:
+            self.turn()
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.make(word)
+        self[word] = ids
+        return ids
+
+
 class Coder:
     """Encodes texts as bytes of little-endian unsigned 32-bit ids, as the library does with
     add_special_tokens=False. ``word_end``: the lower-casing rule with word ends, else the
@@ -101,18 +125,15 @@ class Coder:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.memo = self.new_memo()
 
-    def new_memo(self) -> dict[str, bytes]:
-        shown, model = byte_symbols(), self.tokenizer.model
+    def new_memo(self) -> Memo:
+        shown, model, little = byte_symbols(), self.tokenizer.model, sys.byteorder == "little"
 
-        class Memo(dict):
-            def __missing__(self, word: str) -> bytes:
-                if len(self) >= MEMO:
-                    self.clear()
-                symbols = "".join(map(shown.__getitem__, word.encode("utf-8")))
-                ids = self[word] = u32([t.id for t in model.tokenize(symbols)])
-                return ids
+        def make(word: str) -> bytes:
+            symbols = "".join(map(shown.__getitem__, word.encode("utf-8")))
+            ids = [t.id for t in model.tokenize(symbols)]
+            return array("I", ids).tobytes() if little else u32(ids)
 
-        return Memo()
+        return Memo(make)
 
     def whole(self, text: str) -> bytes:
         return u32(self.tokenizer.encode(text, add_special_tokens=False).ids)
