@@ -84,7 +84,10 @@ def with_views(body: str) -> str:
     body = body.strip()
     if not views:
         return body
-    return f"WITH {views}" + (f",\n{body[5:]}" if body[:5].upper() == "WITH " else f"\n{body}")
+    for word in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(word):
+            return f"{word}{views},\n{body[len(word):]}"
+    return f"WITH {views}\n{body}"
 
 
 def document(spark: SparkSession, d: str) -> DataFrame:
