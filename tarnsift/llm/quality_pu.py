@@ -8,7 +8,9 @@ non-negative unbiased risk
 
     prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)])
 
-with the logistic loss, whose minimiser gives the probability of being good.
+with the logistic loss, whose minimiser gives the probability of being good. Where few rows
+leave trusted positives in doubt, the bias is raised (by RAISE at most) until all but MISSED of
+them score SURE, the only calibration that positives alone allow.
 
 Features are shares of symbols, capitals, repeats, lines and function words, cut at fixed
 bounds. Training takes a bounded sample (MAX_DOCS, MAX_CHARS: parameters) to the driver;
@@ -32,12 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnsift.llm.common import held_out, labelled, sample_texts
+from tarnsift.llm.common import held_out, labelled, sample_texts, slices
 from tarnsift.llm.quality_rules import STOP_WORDS
 
 MAX_DOCS = 4000
 MAX_CHARS = 20_000_000
 THRESHOLD = 0.7
+MISSED, SURE, RAISE = 0.02, 0.75, 3.0
 
 _SYMBOLS = str.maketrans("", "", "#*$%&<>|@^~\\=+_{}[]")
 _DIGITS = str.maketrans("", "", "0123456789")
@@ -117,22 +120,32 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def estimate_prior(pos: np.ndarray, unl: np.ndarray, least_mass: float = 0.5) -> float:
+def estimate_prior(pos: np.ndarray, unl: np.ndarray, least_mass: float = 0.7) -> float:
     """The least ratio of unlabelled share to positive share over upper sets of a score that
-    tells positives from unlabelled rows, over sets with ``least_mass`` of the positives."""
+    tells positives from unlabelled rows, over sets with ``least_mass`` of the positives.
 
-    def grad(w: np.ndarray) -> np.ndarray:
-        gp = -pos.T @ _sigmoid(-(pos @ w)) / len(pos)
-        gu = unl.T @ _sigmoid(unl @ w) / len(unl)
-        return gp + gu + 1e-3 * w
+    Each half of the rows is judged by a score learnt from the other, so that chance
+    differences learnt by heart don't count.
+    """
+
+    def learnt(p: np.ndarray, u: np.ndarray) -> np.ndarray:
+        def grad(w: np.ndarray) -> np.ndarray:
+            gp = -p.T @ _sigmoid(-(p @ w)) / len(p)
+            return gp + u.T @ _sigmoid(u @ w) / len(u) + 1e-3 * w
+
+        return _adam(grad, p.shape[1], 200, 0.05)
 
-    w = _adam(grad, pos.shape[1], 200, 0.05)
-    sp, su = np.sort(pos @ w), np.sort(unl @ w)
-    cut = np.unique(np.quantile(sp, np.linspace(0, 1 - least_mass, 101)))
-    share_p = 1 - np.searchsorted(sp, cut) / len(sp)
-    share_u = 1 - np.searchsorted(su, cut) / len(su)
-    slack = 1 / np.sqrt(len(sp)) + 1 / np.sqrt(len(su))
-    return float(np.clip(((share_u + slack / 4) / share_p).min(), 0.02, 0.98))
+    if min(len(pos), len(unl)) < 4:
+        return 0.5
+    found = []
+    for k in (0, 1):
+        w = learnt(pos[k::2], unl[k::2])
+        sp, su = np.sort(pos[1 - k :: 2] @ w), np.sort(unl[1 - k :: 2] @ w)
+        cut = np.unique(np.quantile(sp, np.linspace(0, 1 - least_mass, 51)))
+        share_p = 1 - np.searchsorted(sp, cut) / len(sp)
+        share_u = 1 - np.searchsorted(su, cut) / len(su)
+        found.append((share_u / share_p).min())
+    return float(np.clip(np.mean(found), 0.02, 0.98))
 
 
 def fit(pos: list[str], unl: list[str], steps: int = 400, rate: float = 0.05, l2: float = 1e-3) -> Model:
@@ -152,7 +165,9 @@ def fit(pos: list[str], unl: list[str], steps: int = 400, rate: float = 0.05, l2
         return (g_pos + g_rest if rest >= 0 else -g_rest) + l2 * np.append(w[:-1], 0)
 
     w = _adam(grad, p.shape[1], steps, rate)
-    return Model(w[:-1], float(w[-1]), prior)
+    lowest = float(np.quantile(p @ w, MISSED))
+    raised = float(np.clip(np.log(SURE / (1 - SURE)) - lowest, 0, RAISE))
+    return Model(w[:-1], float(w[-1]) + raised, prior)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> Model:
@@ -173,7 +188,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             s = held.value.score(features(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*batch.schema.names, "score"])
 
