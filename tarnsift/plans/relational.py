@@ -563,10 +563,11 @@ WITH s AS (SELECT * FROM (VALUES (5), (9), (14), (30)) t(page)), c AS (SELECT p_
 o AS (SELECT answer, cited, (SELECT page - cited FROM s ORDER BY abs(page - cited), page LIMIT 1) AS off FROM c),
 v AS (SELECT answer, off, count(*) AS votes FROM o GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY answer ORDER BY votes DESC, abs(off), off) AS n FROM v)
-SELECT answer, CASE WHEN votes >= 2 THEN off END AS page_offset, votes FROM r WHERE n = 1""")
+SELECT answer, coalesce(CASE WHEN votes >= 2 THEN off END::VARCHAR, '') AS page_offset, votes FROM r WHERE n = 1""")
 def a19_offset_vote(spark: SparkSession, d: str) -> DataFrame:
     cited = table(spark, d, "part").selectExpr("p_partkey % 20 AS answer", "p_size AS cited")
-    return B.citation_offset(cited, [5, 9, 14, 30])
+    voted = B.citation_offset(cited, [5, 9, 14, 30])
+    return voted.withColumn("page_offset", F.coalesce(F.col("page_offset").cast("string"), F.lit("")))
 
 
 @query("""

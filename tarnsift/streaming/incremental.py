@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 IDLE = "300 seconds"
 
@@ -14,7 +15,9 @@ def sessions(events: DataFrame, key: str = "user_id", ts: str = "ts", gap: str =
     Works on a batch and, after ``watermarked``, on a stream in append mode; there a session
     comes out once the watermark has passed its end.
     """
-    w = F.session_window(F.col(ts).cast("timestamp"), gap)
+    # A cast would drop the watermark of a column that is a timestamp already.
+    at = F.col(ts) if isinstance(events.schema[ts].dataType, TimestampType) else F.col(ts).cast("timestamp")
+    w = F.session_window(at, gap)
     rows = events.groupBy(key, w.alias("w")).agg(F.count("*").alias("n"))
     return rows.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 

@@ -1,6 +1,7 @@
 """Every query with an SQL twin against DuckDB on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tarnsift.plans.all import QUERIES, SQL
@@ -18,7 +19,7 @@ def con(sf):
 
 def rows(df):
     def text(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return ""
         return f"{v:.6g}" if isinstance(v, float) else str(v)
 
