@@ -10,6 +10,10 @@ the minimizer and 32 bits of each edge identify it, about half of what shipping
 one takes. A record whose minimizer occurs once has no repeated edge and is dropped at sight.
 Each map task first sends only the first occurrence of an edge among its own documents, the
 others being repeats already; so a passage in a third of all documents is one record per task.
+A minimizer within a common line has other words around it in each document, so its edges stay
+distinct. Minimizers that a sixteenth of the documents shows to be heavy are therefore no keys:
+each of their edges is a record by itself under its own hash. The sample decides only where
+records go, the same for all tasks, and the list is bounded by the number of buckets.
 
 Repeated edges then go back to their documents, with the source coordinates of the first
 occurrence. Joined there with the text, neighbouring edges whose sources are neighbours too
@@ -37,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from zstandard import ZstdCompressor, ZstdDecompressor
 
-from tarnsift.llm.common import BLANKS
+from tarnsift.llm.common import BLANKS, slices, trim
 
 WINDOW = 20
 SEED = 10
@@ -46,6 +50,9 @@ SPAN = WINDOW - SEED + 1
 FLUSH = 800_000
 BYTES = 1_000_000
 SEND = 8_000_000
+#: One in so many documents tells heavy minimizers; a heavy one has so many records there at
+#: least. No more than HEAVY a bucket are told, the heaviest first.
+TELLS, LEAST, HEAVY = 16, 50, 8
 _NULL = -(1 << 63)
 
 _SPACE = np.zeros(256, bool)
@@ -152,7 +159,15 @@ def _repeats(doc, pos, src_doc, src_pos, parts: int) -> Iterator[tuple[int, byte
         yield int(part[a]), _pack([cols[0][a:b], cols[1][a:b], cols[2][a:b], cols[3][a:b] - cols[1][a:b]])
 
 
-def _records(batch: list[tuple[np.ndarray, ...]], buckets: int, parts: int) -> Iterator[tuple[int, int, bytes]]:
+def _anchors(doc, pos, least, offset) -> np.ndarray:
+    """Where a new occurrence of a minimizer begins among edges in order of (document, start)."""
+    at = pos + offset
+    return np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1]) | (least[1:] != least[:-1])])
+
+
+def _records(
+    batch: list[tuple[np.ndarray, ...]], buckets: int, parts: int, heavy: np.ndarray
+) -> Iterator[tuple[int, int, bytes]]:
     """(bucket, document part or -1, blob) of a run of edges (doc, pos, whole, least, offset)."""
     doc, pos, whole, least, offset = (np.concatenate(x) for x in zip(*batch, strict=True))
     if (np.diff(doc) < 0).any() or ((np.diff(doc) == 0) & (np.diff(pos) < 0)).any():
@@ -168,9 +183,11 @@ def _records(batch: list[tuple[np.ndarray, ...]], buckets: int, parts: int) -> I
             yield p % buckets, p, blob
     keep = np.sort(by[head])
     doc, pos, whole, least, offset = (x[keep] for x in (doc, pos, whole, least, offset))
+    if len(heavy):
+        hot = heavy[np.minimum(np.searchsorted(heavy, least), len(heavy) - 1)] == least
+        least, offset = np.where(hot, _mix(whole ^ _U(_BASE)), least), np.where(hot, np.uint8(0), offset)
     anchor = pos + offset
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])])
-    at = np.flatnonzero(new)
+    at = np.flatnonzero(_anchors(doc, pos, least, offset))
     bits = np.left_shift(1, SPAN - 1 - offset.astype(np.int64))
     mask = np.add.reduceat(bits, at).astype("<u2")
     low = whole.astype("<u4")  # the lower 32 bits
@@ -249,23 +266,43 @@ def _stored(t: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def _heavy(slim: DataFrame, buckets: int) -> np.ndarray:
+    """The heavy minimizers, sorted: HEAVY * buckets at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1000):
+            of, start, _, least, offset = edges(_texts(batch.column("text")))
+            if not len(of):
+                continue
+            seeds, n = np.unique(least[_anchors(of, start, least, offset)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), pa.array(n)], names=["seed", "n"])
+
+    some = slim.where(F.pmod(F.xxhash64("__doc", "__copy"), F.lit(TELLS)) == 0)
+    counts = some.mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+    often = counts.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "seed").limit(HEAVY * buckets).collect()
+    return np.sort(np.array([r.seed for r in often], np.int64).view(np.uint64))
+
+
 def _joined(docs: DataFrame) -> DataFrame:
     """part, kind and blob: rows (kind 0) and repeated edges (kind 1) of each document part."""
     spark = docs.sparkSession
-    parts = buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts, buckets = 2 * shuffled, 8 * shuffled
     keyed = _keyed(docs)
+    slim = keyed.select("__doc", "__copy", "text")
+    told = spark.sparkContext.broadcast(_heavy(slim, buckets))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         n = 0
 
         def send() -> pa.RecordBatch:
-            k, p, b = zip(*_records(held, buckets, parts), strict=True)
+            k, p, b = zip(*_records(held, buckets, parts, told.value), strict=True)
             return pa.RecordBatch.from_arrays(
                 [pa.array(k, pa.int32()), pa.array(p, pa.int32()), pa.array(b, pa.binary())], names=["bucket", "part", "blob"]
             )
 
-        for batch in batches:
+        for batch in slices(batches, 1000):
             doc = batch.column("__doc").to_numpy()
             copy = batch.column("__copy").to_numpy()
             texts = _texts(batch.column("text"))
@@ -291,6 +328,7 @@ def _joined(docs: DataFrame) -> DataFrame:
         rows = list(zip(df["part"][done], df["blob"][done], strict=True))
         if not done.all():
             rows += _found(df["blob"][~done].tolist(), parts)
+        trim()
         return pd.DataFrame(rows, columns=["part", "blob"]).assign(kind=1)[["part", "kind", "blob"]]
 
     def send_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +354,6 @@ def _joined(docs: DataFrame) -> DataFrame:
         if held:
             yield send(pa.Table.from_batches(held))
 
-    slim = keyed.select("__doc", "__copy", "text")
     records = slim.mapInArrow(deal, "bucket int, part int, blob binary")
     repeats = records.groupBy("bucket").applyInPandas(match, "part int, kind int, blob binary")
     return keyed.mapInArrow(send_rows, "part int, kind int, blob binary").unionByName(repeats)
