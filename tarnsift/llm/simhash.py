@@ -1,13 +1,14 @@
 """SimHash fingerprints and search within a Hamming radius, in built-in expressions only.
 
-Each term of a text votes with its weight on the signed bits of its 64-bit hash, and a
-fingerprint bit is 1 where the weight of the ones is over half. Terms are exploded and summed
-within their map task: a lane-packed sum holds two bit counters of 32 bits, so 32 sums are 64
-counters, and one row of sums per document is all that leaves the task.
+Each term of a text votes with its weight on the signed bits of its hash, and a fingerprint bit
+is 1 where the weight of the ones is over half. A fingerprint has 128 bits, two hashes of 64:
+likeness is a mean over bits, so twice as many halve its variance. Terms are exploded and summed
+within their task: a lane-packed sum holds two bit counters of 32 bits, so 32 sums are 64
+counters, and one row of sums per document and hash is all that is left.
 
-Search keeps tables permuted by blocks: the 64 bits are cut in RADIUS + 2 blocks, and of two
-fingerprints within RADIUS at least two blocks are equal. One table per pair of blocks, keyed
-by them, therefore finds all of them; a match counts only in the first table that has it.
+Search keeps tables permuted by blocks: the bits are cut in BLOCKS blocks, and of two
+fingerprints within RADIUS at least BLOCKS - RADIUS are equal. One table per pair of blocks,
+keyed by them, therefore finds all; a match counts only in the first table that has it.
 
 Defined cases: a null text counts as empty; texts without a word have the fingerprint zero,
 texts of one word that word's; equal texts have equal fingerprints; rows that repeat a doc_id
@@ -25,6 +26,9 @@ from pyspark.sql import functions as F
 from tarnsift.llm.common import BLANK_RUN, shared_dir, stage
 
 RADIUS = 3
+#: Half of the blocks are cut from either 64 bits; two at least are left by RADIUS bits.
+BLOCKS = 6
+WIDTH = 128
 _LANES = 0x0000000100000001
 _LOW = 0xFFFFFFFF
 
@@ -35,16 +39,17 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lower, BLANK_RUN, -1), "")
 
 
-def pair_terms(words: str) -> Column:
-    """Neighbouring words as (hash, weight), the weight being their length. ``words`` must
-    name a column of the frame below."""
+def pair_terms(words: str, half: int = 0) -> Column:
+    """Neighbouring words as (hash, weight), the weight being their length; ``half`` chooses
+    one of independent hashes. ``words`` must name a column of the frame below."""
+    salt = [F.lit(half)] * (half > 0)
     n = F.size(words)
     pairs = F.zip_with(
         F.slice(words, 1, F.greatest(n - 1, F.lit(0))),
         F.slice(words, 2, F.greatest(n - 1, F.lit(0))),
-        lambda a, b: F.struct(F.xxhash64(a, b).alias("h"), (F.length(a) + F.length(b)).cast("long").alias("w")),
+        lambda a, b: F.struct(F.xxhash64(*salt, a, b).alias("h"), (F.length(a) + F.length(b)).cast("long").alias("w")),
     )
-    one = F.transform(words, lambda a: F.struct(F.xxhash64(a).alias("h"), F.length(a).cast("long").alias("w")))
+    one = F.transform(words, lambda a: F.struct(F.xxhash64(*salt, a).alias("h"), F.length(a).cast("long").alias("w")))
     return F.when(n > 1, pairs).otherwise(one)
 
 
@@ -71,54 +76,61 @@ def vote(df: DataFrame, keys: list[str], terms: str, weighted: bool) -> DataFram
     return summed.select(*keys, bits[0].alias("fingerprint"))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    return 1 - F.bit_count(a.bitwiseXOR(b)) / 64.0
+def differing(a: str, b: str) -> Column:
+    """Bits in which fingerprints ``a`` and ``b`` differ, columns of (hi, lo)."""
+    return sum(
+        (F.bit_count(F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}"))) for k in ("hi", "lo")), F.lit(0)
+    )
+
+
+def likeness(a: str, b: str) -> Column:
+    return 1 - differing(a, b) / float(WIDTH)
 
 
 def as_hex(fp: Column) -> Column:
+    """64 bits as 16 hexadecimal digits."""
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def _blocks(n: int) -> list[tuple[int, int]]:
-    """Shift and width of ``n`` blocks of 64 bits."""
+def _blocks() -> list[tuple[str, int, int]]:
+    """Half, shift and width of each block."""
+    n = BLOCKS // 2
     edges = [64 * k // n for k in range(n + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+    return [(half, a, b - a) for half in ("lo", "hi") for a, b in zip(edges, edges[1:])]
 
 
 def within(queries: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """fingerprint of each query and n_within, the rows of ``index`` within ``radius`` of it.
+    """fp of each query and n_within, the rows of ``index`` within ``radius`` bits of it.
 
-    ``queries``: distinct fingerprints; ``index``: distinct fingerprints with n rows each, so
-    equal texts, however many, are one entry.
+    ``queries``: distinct fp (hi, lo); ``index``: distinct fp with n rows each, so equal texts,
+    however many, are one entry.
     """
-    blocks = _blocks(radius + 2)
-    pairs = list(combinations(range(len(blocks)), 2))
+    if radius > BLOCKS - 2:
+        raise ValueError(f"radius must be {BLOCKS - 2} or less")
+    blocks = _blocks()
+    pairs = list(combinations(range(BLOCKS), 2))
+
+    def block(fp: str, k: int) -> Column:
+        half, shift, width = blocks[k]
+        return F.shiftrightunsigned(f"{fp}.{half}", shift).bitwiseAND(F.lit((1 << width) - 1))
 
     def keyed(df: DataFrame, *more: str) -> DataFrame:
         def key(t: int) -> Column:
-            (s1, w1), (s2, w2) = (blocks[k] for k in pairs[t])
-            a = F.shiftrightunsigned("fingerprint", s1).bitwiseAND(F.lit((1 << w1) - 1))
-            b = F.shiftrightunsigned("fingerprint", s2).bitwiseAND(F.lit((1 << w2) - 1))
-            return F.struct(F.lit(t).alias("t"), (F.shiftleft(a, w2) + b).alias("k"))
+            i, j = pairs[t]
+            return F.struct(F.lit(t).alias("t"), (F.shiftleft(block("fp", i), blocks[j][2]) + block("fp", j)).alias("k"))
 
-        return df.select("fingerprint", *more, F.inline(F.array(*[key(t) for t in range(len(pairs))])))
-
-    q = keyed(queries).withColumnRenamed("fingerprint", "q")
-    x = F.col("q").bitwiseXOR(F.col("fingerprint"))
-
-    def differs(k: int) -> Column:
-        s, w = blocks[k]
-        return F.shiftrightunsigned(x, s).bitwiseAND(F.lit((1 << w) - 1)) != 0
+        return df.select("fp", *more, F.inline(F.array(*[key(t) for t in range(len(pairs))])))
 
+    q = keyed(queries).withColumnRenamed("fp", "q")
     first = F.lit(False)
     for t, (i, j) in enumerate(pairs):
         sure = F.col("t") == t
         for k in range(j):
             if k != i:
-                sure = sure & differs(k)
+                sure = sure & (block("q", k) != block("fp", k))
         first = first | sure
-    found = q.join(keyed(index, "n"), ["t", "k"]).where((F.bit_count(x) <= radius) & first)
-    return found.groupBy(F.col("q").alias("fingerprint")).agg(F.sum("n").alias("n_within"))
+    found = q.join(keyed(index, "n"), ["t", "k"]).where((differing("q", "fp") <= radius) & first)
+    return found.groupBy(F.col("q").alias("fp")).agg(F.sum("n").alias("n_within"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -157,45 +169,47 @@ def with_next(docs: DataFrame) -> DataFrame:
     )
 
 
-def fingerprints(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys``, which must tell rows apart, and the fingerprint of text."""
-    cut = docs.select(*keys, words(F.col("text")).alias("__w"))
-    return vote(cut.select(*keys, pair_terms("__w").alias("__terms")), keys, "__terms", weighted=True)
+def fingerprints(docs: DataFrame, keys: list[str], texts: dict[str, str]) -> DataFrame:
+    """``keys``, which must tell rows apart, and a fingerprint (hi, lo) of each of ``texts``
+    (name to column); null for a null text."""
+    cut = docs.select(*keys, *[F.when(F.col(c).isNotNull(), words(F.col(c))).alias(f"__w{k}") for k, c in enumerate(texts.values())])
+    kinds = [(k, half) for k in range(len(texts)) for half in (0, 1)]
+    terms = cut.select(*keys, *[pair_terms(f"__w{k}", half).alias(f"__t{k}{half}") for k, half in kinds])
+    rows = terms.select(
+        *keys,
+        F.inline(F.array_compact(F.array(*[
+            F.when(F.col(f"__t{k}{half}").isNotNull(), F.struct(F.lit(2 * k + half).alias("__kind"), F.col(f"__t{k}{half}").alias("__terms")))
+            for k, half in kinds
+        ]))),
+    )
+    fps = vote(rows, [*keys, "__kind"], "__terms", weighted=True)
+    side = lambda n: F.max(F.when(F.col("__kind") == n, F.col("fingerprint")))
+    wide = fps.groupBy(*keys).agg(*[side(2 * k + half).alias(f"__f{k}{half}") for k, half in kinds])
+    made = [
+        F.when(F.col(f"__f{k}0").isNotNull(), F.struct(F.col(f"__f{k}1").alias("hi"), F.col(f"__f{k}0").alias("lo"))).alias(name)
+        for k, name in enumerate(texts)
+    ]
+    return wide.select(*keys, *made)
 
 
 def op4(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    n = F.length("text")
+    kept = "substring(text, 1, length(text) - int(floor(length(text) / 4)))"
+    taken = "substring(next_text, 1, int(floor(length(text) / 4)))"
     rows = with_next(docs).select(
-        "part", "rn", "sentinel", "doc_id", n.cast("long").alias("n_chars"), "text",
-        F.concat(F.expr("substring(text, 1, length(text) - int(floor(length(text) / 4)))"),
-                 F.expr("substring(next_text, 1, int(floor(length(text) / 4)))")).alias("edited"),
+        "part", "rn", "sentinel", "doc_id", F.length("text").cast("long").alias("n_chars"), "text",
+        F.when(~F.col("sentinel"), F.concat(F.expr(kept), F.expr(taken))).alias("edited"),
     )
     keys = ["part", "rn", "sentinel", "doc_id", "n_chars", "edited_sha256"]
-    cut = rows.select(
-        *keys[:-1], F.sha2("edited", 256).alias("edited_sha256"),
-        words(F.col("text")).alias("__w0"), words(F.col("edited")).alias("__w1"),
-    )
-    terms = cut.select(*keys, pair_terms("__w0").alias("__t0"), pair_terms("__w1").alias("__t1"))
-    both = terms.select(
-        *keys,
-        F.inline(F.array_compact(F.array(
-            F.struct(F.lit(0).alias("kind"), F.col("__t0").alias("__terms")),
-            F.when(~F.col("sentinel"), F.struct(F.lit(1).alias("kind"), F.col("__t1").alias("__terms"))),
-        ))),
-    )
-    fps = vote(both, [*keys, "kind"], "__terms", weighted=True)
-    side = lambda k: F.max(F.when(F.col("kind") == k, F.col("fingerprint")))
-    wide = fps.groupBy(*keys).agg(side(0).alias("fp"), side(1).alias("efp"))
+    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
+    wide = fingerprints(rows, keys, {"fp": "text", "efp": "edited"})
     wide = wide.withColumn("nfp", F.lead("fp").over(Window.partitionBy("part").orderBy("rn"))).where(~F.col("sentinel"))
     made = stage(wide.select("doc_id", "n_chars", "edited_sha256", "fp", "efp", "nfp"), shared_dir(docs.sparkSession))
-    index = made.groupBy(F.col("fp").alias("fingerprint")).agg(F.count("*").alias("n"))
+    index = made.groupBy("fp").agg(F.count("*").alias("n"))
     asked = (F.pmod("doc_id", F.lit(100)) == 0) & F.col("doc_id").isNotNull()
-    queries = made.where(asked).select(F.col("fp").alias("fingerprint")).distinct()
-    near = within(queries, index, radius)
-    return made.join(near.withColumnRenamed("fingerprint", "fp"), "fp", "left").select(
-        "doc_id", "n_chars", "edited_sha256",
-        as_hex(F.col("fp")).alias("fingerprint"), as_hex(F.col("efp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("efp")).alias("near_edited"),
-        likeness(F.col("fp"), F.col("nfp")).alias("near_next"),
+    near = within(made.where(asked).select("fp").distinct(), index, radius)
+    text = lambda c: F.concat(as_hex(F.col(f"{c}.hi")), as_hex(F.col(f"{c}.lo")))
+    return made.join(near, "fp", "left").select(
+        "doc_id", "n_chars", "edited_sha256", text("fp").alias("fingerprint"), text("efp").alias("edited_fingerprint"),
+        likeness("fp", "efp").alias("near_edited"), likeness("fp", "nfp").alias("near_next"),
         F.when(asked, F.col("n_within")).alias("n_within"),
     )

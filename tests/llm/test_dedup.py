@@ -90,8 +90,8 @@ def test_op4(spark):
         r = got[i]
         assert (r.n_chars, r.edited_sha256) == (len(t), sha256(edited.encode()).hexdigest())
         a, e, n = (int(x, 16) for x in (r.fingerprint, r.edited_fingerprint, got[after[0]].fingerprint))
-        assert r.near_edited == pytest.approx(1 - (a ^ e).bit_count() / 64)
-        assert r.near_next == pytest.approx(1 - (a ^ n).bit_count() / 64)
+        assert r.near_edited == pytest.approx(1 - (a ^ e).bit_count() / 128)
+        assert r.near_next == pytest.approx(1 - (a ^ n).bit_count() / 128)
         others = [int(x.fingerprint, 16) for x in got.values()]
         assert r.n_within == (sum((a ^ o).bit_count() <= 3 for o in others) if i % 100 == 0 else None)
     by_text = {}
@@ -108,14 +108,16 @@ def test_op4_with_one_row_nulls_and_repeats(spark):
     assert sorted((str(r.doc_id), r.n_chars) for r in some.collect()) == [("2", 0), ("2", 3), ("2", 3), ("None", 3)]
 
 
-def test_search_finds_all_within_the_radius(spark):
+@pytest.mark.parametrize("radius", [0, 3, 4])
+def test_search_finds_all_within_the_radius(spark, radius):
     r = random.Random(4)
-    base = [r.getrandbits(64) for _ in range(60)]
-    v = sorted({b ^ sum(1 << k for k in r.sample(range(64), n)) for b in base for n in (0, 1, 2, 3, 4, 5)})
-    signed = [x - (x >> 63 << 64) for x in v]
-    index = spark.createDataFrame([(x, 2) for x in signed], "fingerprint long, n long")
-    got = dict(simhash.within(index.select("fingerprint"), index, 3).collect())
-    assert got == {s: 2 * sum((a ^ b).bit_count() <= 3 for b in v) for s, a in zip(signed, v, strict=True)}
+    base = [r.getrandbits(128) for _ in range(40)]
+    v = sorted({b ^ sum(1 << k for k in r.sample(range(128), n)) for b in base for n in range(7)})
+    signed = lambda x: x - (x >> 63 << 64)
+    rows = [((signed(x >> 64), signed(x & (1 << 64) - 1)), 2) for x in v]
+    index = spark.createDataFrame(rows, "fp struct<hi: long, lo: long>, n long")
+    got = {tuple(q): n for q, n in simhash.within(index.select("fp"), index, radius).collect()}
+    assert got == {f: 2 * sum((a ^ b).bit_count() <= radius for b in v) for (f, _), a in zip(rows, v, strict=True)}
 
 
 def removed(rows, window=20):
@@ -147,9 +149,10 @@ def shared_passages():
 
 
 @pytest.mark.parametrize("make", [awkward, shared_passages])
-@pytest.mark.parametrize("flush", [substring_dedup.FLUSH, 50])
-def test_op5(spark, make, flush, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "FLUSH", flush)
+@pytest.mark.parametrize(("flush", "tells", "least"), [(substring_dedup.FLUSH, 16, 50), (50, 1, 2), (50, 1, 1), (700, 2, 1)])
+def test_op5(spark, make, flush, tells, least, monkeypatch):
+    for name, value in (("FLUSH", flush), ("TELLS", tells), ("LEAST", least)):
+        monkeypatch.setattr(substring_dedup, name, value)
     rows = make()
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.op5(docs(spark, rows)).collect()}
     assert got == removed(rows)
