@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tarnsift.llm.common import slices, small_batches
 from tarnsift.llm.tokens import MEMO, Coder, Memo, byte_symbols, spans, u32
 
 
@@ -177,10 +178,10 @@ def bpe(path: str) -> PairIndexBpe:
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` with ids, the little-endian unsigned 32-bit ids of text as binary."""
-    docs = docs.drop("ids")
+    docs = small_batches(docs).drop("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids = list(bpe(path).encode(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*batch.schema.names, "ids"])
 
@@ -192,7 +193,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     encoded = encoded.drop("decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [None if x is None else bpe(path).decode(x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
@@ -204,7 +205,7 @@ def op3(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe(path)
-        for batch in batches:
+        for batch in slices(batches):
             n, a, b = [], [], []
             for ids in coder.encode(batch.column("text").to_pylist()):
                 n.append(len(ids) // 4)
@@ -216,6 +217,6 @@ def op3(docs: DataFrame, path: str) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
+    return small_batches(docs).select("doc_id", "text").mapInArrow(
         run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

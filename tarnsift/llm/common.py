@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 # Words are runs of anything but space and the ASCII control blanks \t \n \v \f \r.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
+#: Rows of an Arrow batch between Spark and a Python worker.
+BATCH = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,7 +50,17 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
     trim()
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session sending Arrow batches of BATCH rows unless it was told another number
+    than Spark's default: texts are long, and ten thousand of them are tens of MB on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, str(BATCH))
+    return df
+
+
 def trim() -> None:
+    """Give freed memory back to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

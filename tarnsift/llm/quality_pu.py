@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnsift.llm.common import held_out, labelled, sample_texts, slices
+from tarnsift.llm.common import held_out, labelled, sample_texts, slices, small_batches
 from tarnsift.llm.quality_rules import STOP_WORDS
 
 MAX_DOCS = 4000
@@ -184,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with score, the probability of being good."""
-    docs = docs.drop("score")
+    docs = small_batches(docs).drop("score")
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

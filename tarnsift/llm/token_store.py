@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnsift.llm.common import shared_dir, stage
+from tarnsift.llm.common import shared_dir, slices, small_batches, stage
 from tarnsift.llm.tokens import coder
 
 END = 1
@@ -162,7 +162,7 @@ def _encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
         c = coder(path)
         last = np.array([end], "<u4").tobytes()
         small = c.tokenizer.get_vocab_size() <= 1 << 16
-        for batch in batches:
+        for batch in slices(batches):
             n, crc, kept = [], [], []
             for ids in c.encode(batch.column("text").to_pylist()):
                 ids += last
@@ -174,7 +174,7 @@ def _encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
                 names=["doc_id", "n", "crc", "ids"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, crc long, ids binary")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n long, crc long, ids binary")
 
 
 def _kind(n: int, ids: bytes) -> str:
@@ -186,7 +186,7 @@ def _counts(encoded: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for n, ids in zip(batch.column("n").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 c = np.bincount(np.frombuffer(ids, _kind(n, ids)))
                 if len(c) > len(total):
@@ -222,7 +222,7 @@ def write(docs: DataFrame, path: str, out: str, end: int = END) -> None:
                 names=["part", "seq", "ids", "blob"],
             )
 
-        for batch in batches:
+        for batch in slices(batches):
             for i, n, x in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "ids")), strict=True):
                 doc_ids.append(i)
                 ids.append(np.frombuffer(x, _kind(n, x)))

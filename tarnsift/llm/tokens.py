@@ -138,6 +138,11 @@ class Coder:
     def whole(self, text: str) -> bytes:
         return u32(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def forget(self) -> None:
+        """Empty the memo, for workers that go on to other work."""
+        self.memo.clear()
+        self.memo.old = {}
+
     def pieces(self, text: str) -> list[str] | None:
         """Pre-tokens by the fast rule, or None where the library must take the text whole."""
         if self.cut is None or any(s in text for s in self.special):

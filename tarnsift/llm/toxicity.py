@@ -13,7 +13,7 @@ to the driver. Scoring is one map stage over the scan with the weights broadcast
 floats: a fixed size), no shuffle.
 
 Defined cases: a null or empty text has no sentence and scores 0; repeated rows score alike;
-without labels of both classes every score is 0; an empty table gives an empty result; further
+without labels of both classes every score is below 1e-9; an empty table gives an empty result; further
 columns pass through ``score``, except that columns named like its own are replaced.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnsift.llm.common import held_out, labelled, sample_texts
+from tarnsift.llm.common import held_out, labelled, sample_texts, slices, small_batches
 
 WEIGHTS = 1 << 18
 PREFIXES = (4, 5, 6)
@@ -38,7 +38,7 @@ MAX_DOCS = {0: 3000, 1: 2000}
 MAX_CHARS = 16_000_000
 THRESHOLD = 0.3
 #: Words that a worker keeps weighed; beyond it the memo starts anew.
-MEMO = 400_000
+MEMO = 300_000
 SENTENCE = re.compile(r"[.!?\n]+")
 EDGE = "\"'`.,;:!?()[]{}<>*#$%&|_-=+/\\~^«»“”‘’…"
 
@@ -150,20 +150,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with score (noisy-or of its sentences), worst_sentence (its index from 0,
     -1 for none) and worst_score (its probability)."""
     names = [f.name for f in OWN]
-    docs = docs.drop(*names)
+    docs = small_batches(docs).drop(*names)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logit = held.value.scorer()
         exp, log1p = np.exp, np.log1p
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch.column("text").to_pylist():
                 z = np.array([logit(s) for s in sentences(text)])
                 if not len(z):
                     out.append((0.0, -1, 0.0))
                     continue
-                z = np.clip(z, -30, 30)
+                z = np.clip(z, -700, 30)
                 loss = np.where(z > 0, z + log1p(exp(-np.abs(z))), log1p(exp(np.minimum(z, 0)))).sum()
                 k = int(z.argmax())
                 out.append((float(-np.expm1(-loss)), k, float(1 / (1 + exp(-z[k])))))
@@ -182,7 +182,7 @@ def locate(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logit = held.value.scorer()
-        for batch in batches:
+        for batch in slices(batches):
             found = [
                 (i, k, s.strip(), p)
                 for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
