@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -122,3 +125,52 @@ def citations(c: Column) -> Column:
 
 def cited_pages(cite: Column) -> Column:
     return F.transform(F.regexp_extract_all(cite, F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("long"))
+
+
+def query_text(c: Column, prefixed: bool) -> Column:
+    """A query as the embedder wants it; one family of models takes task prefixes."""
+    return F.concat(F.lit("search_query: "), c) if prefixed else c
+
+
+def document_text(c: Column, prefixed: bool) -> Column:
+    return F.concat(F.lit("search_document: "), c) if prefixed else c
+
+
+def keyword_query(c: Column) -> Column:
+    """The boosted phrase, or any of its words of two letters or more."""
+    quoted = F.replace(c, F.lit('"'), F.lit('\\"'))
+    words = F.filter(F.split(quoted, r"\s+", -1), lambda w: F.length(w) >= 2)
+    phrase = F.concat(F.lit('"'), quoted, F.lit('"'))
+    both = F.concat(phrase, F.lit("^4 OR ("), F.array_join(words, " OR "), F.lit(")"))
+    return F.when(F.size(words) > 0, both).otherwise(phrase)
+
+
+_JSON_PART = re.compile(r'"(?:[^"\\]|\\.)*"|[{}]', re.DOTALL)
+_FENCE = re.compile(r"^```[^\n]*\n(.*?)(?:```)?$", re.DOTALL)
+
+
+def balanced_object(text: str | None) -> str | None:
+    """The first balanced JSON object of a model's answer, out of a code fence if it has one;
+    braces within strings don't count."""
+    if text is None:
+        return None
+    body = text.strip()
+    if fenced := _FENCE.match(body):
+        body = fenced[1].strip()
+    start = body.find("{")
+    depth = 0
+    for part in _JSON_PART.finditer(body, start) if start >= 0 else ():
+        depth += {"{": 1, "}": -1}.get(part[0], 0)
+        if depth == 0:
+            return body[start : part.end()]
+    return None
+
+
+def first_json_object(c: Column | str) -> Column:
+    """``balanced_object`` of a column, for from_json to parse."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(balanced_object)
+
+    return run(c)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,3 +29,57 @@ def l2_normalize(c: Column) -> Column:
     """The vector over its length; a zero vector stays."""
     norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
     return F.when(norm > 0, F.transform(F.arrays_zip(c.alias("x"), F.array_repeat(norm, F.size(c)).alias("n")), lambda z: z["x"] / z["n"])).otherwise(c)
+
+
+def to_binary(c: Column | str) -> Column:
+    """Multi-vectors, arrays of arrays of numbers, as row-major little-endian float32 bytes."""
+
+    @F.pandas_udf("binary")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda m: None if m is None else np.asarray([list(r) for r in m], "<f4").tobytes())
+
+    return run(c)
+
+
+def from_binary(c: Column | str, k: Column | str) -> Column:
+    """The ``k`` vectors of such bytes."""
+
+    @F.pandas_udf("array<array<float>>")
+    def run(s: pd.Series, n: pd.Series) -> pd.Series:
+        back = lambda b, m: None if b is None else np.frombuffer(b, "<f4").reshape(int(m), -1).tolist() if m else []
+        return pd.Series([back(b, m) for b, m in zip(s, n, strict=True)])
+
+    return run(c, k)
+
+
+def random_projection(c: Column | str, target: int = 128, seed: int = 42) -> Column:
+    """Vectors projected by a fixed Gaussian matrix over the root of ``target`` and brought back to
+    unit length; vectors of that size stay."""
+
+    @F.pandas_udf("array<float>")
+    def run(s: pd.Series) -> pd.Series:
+        made: dict[int, np.ndarray] = {}
+
+        def one(v):
+            if v is None or len(v) == target:
+                return v
+            if len(v) not in made:
+                # The published seed and generator give the same matrix.
+                made[len(v)] = np.random.RandomState(seed).randn(len(v), target).astype(np.float32) / np.float32(np.sqrt(target))
+            y = np.asarray(v, np.float32) @ made[len(v)]
+            return y / max(float(np.linalg.norm(y)), 1e-8)
+
+        return s.map(one)
+
+    return run(c)
+
+
+def token_pooled(c: Column | str, factor: int = 3) -> Column:
+    """Multi-vectors with each run of ``factor`` neighbours replaced by their mean."""
+    c = (F.col(c) if isinstance(c, str) else c).cast("array<array<double>>")
+    n = F.ceil(F.size(c) / factor).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(c, i * factor + 1, factor))
+    mean = lambda r: F.transform(
+        F.aggregate(F.slice(r, 2, factor), r[0], lambda a, b: F.zip_with(a, b, lambda x, y: x + y)), lambda x: x / F.size(r)
+    )
+    return F.when(F.size(c) > 0, F.transform(runs, mean)).otherwise(c)

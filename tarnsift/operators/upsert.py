@@ -112,3 +112,13 @@ def backfill(df: DataFrame, column: str, value: Column) -> DataFrame:
 def first_seen(df: DataFrame, key: str, *order: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
+
+
+def create_names(existing: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
+    """Categories or tags with ``names`` added, each once."""
+    new = existing.sparkSession.createDataFrame([(n,) for n in names], f"{key} string")
+    return existing.select(key).unionByName(new).distinct()
+
+
+def delete_names(existing: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
+    return existing.where(~F.col(key).isin(list(names)))

@@ -251,3 +251,40 @@ def e1_sessions(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT DISTINCT file_hash FROM v_document")
 def e2_incremental_dedup(spark: SparkSession, d: str) -> DataFrame:
     return first_files(S.document(spark, d)).select("file_hash")
+
+
+@query(f"""
+WITH {_PLAN}, w AS (SELECT DISTINCT unnest(list_append(losers, winner)) AS name FROM p)
+SELECT name FROM w WHERE name NOT IN (SELECT name FROM v_variant WHERE entity_key % 2 = 0)""")
+def u4_missing(spark: SparkSession, d: str) -> DataFrame:
+    return K.missing(planned(spark, d), S.variant(spark, d).where("entity_key % 2 = 0"))
+
+
+@query("""
+WITH f AS (SELECT 'f_' || substr(sha1(lower(p_name) || '|' || p_type), 1, 20) AS formula_id, p_name AS name, p_type AS expression, p_partkey FROM part)
+SELECT formula_id, (list(name ORDER BY p_partkey))[1] AS name, (list(expression ORDER BY p_partkey))[1] AS expression, count(*) AS support_count FROM f GROUP BY 1""")
+def m4_formula_upsert(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "part").select(C.formula_id(F.col("p_name"), F.col("p_type")).alias("formula_id"), F.col("p_name").alias("name"), F.col("p_type").alias("expression"), "p_partkey")
+    first = lambda c: F.min_by(c, "p_partkey").alias(c)
+    return f.groupBy("formula_id").agg(first("name"), first("expression"), F.count("*").alias("support_count"))
+
+
+@query("""
+SELECT category, n, CASE WHEN category = 'BUILDING' THEN NULL ELSE 'BUILDING' END AS parent FROM
+ (SELECT category, count(*) AS n FROM v_kg_document WHERE category <> 'MACHINERY' GROUP BY 1 UNION ALL SELECT 'EMPTY', 0)""")
+def m16_categories(spark: SparkSession, d: str) -> DataFrame:
+    names = S.kg_document(spark, d).select("category").distinct()
+    names = U.create_names(names, "category", ["EMPTY", "BUILDING"])
+    names = U.delete_names(names, "category", ["MACHINERY"])
+    n = S.kg_document(spark, d).groupBy("category").agg(F.count("*").alias("n"))
+    parent = F.when(F.col("category") != "BUILDING", F.lit("BUILDING"))
+    return names.join(n, "category", "left").na.fill(0, ["n"]).select("category", "n", parent.alias("parent"))
+
+
+@query("""
+SELECT page_id, coalesce(CASE WHEN page_id % 3 > 0 THEN page_id % 2 = 0 END, length(extracted_text) < 20) AS is_blank,
+  CASE WHEN doc_id % 4 > 0 THEN page_id ELSE -1 END AS vectors FROM v_page""")
+def m18_backfill(spark: SparkSession, d: str) -> DataFrame:
+    p = S.page(spark, d).select("page_id", "doc_id", F.when(F.col("page_id") % 3 > 0, F.col("page_id") % 2 == 0).alias("is_blank"), F.col("page_id").alias("vectors"), "extracted_text")
+    filled = U.backfill(p, "is_blank", F.length("extracted_text") < 20)
+    return U.clear_when(filled, "vectors", F.col("doc_id") % 4 == 0).na.fill(-1, ["vectors"]).select("page_id", "is_blank", "vectors")

@@ -622,3 +622,70 @@ def x4_query_mode(spark: SparkSession, d: str) -> DataFrame:
     return q.select("item_id", F.when(F.size("ts") <= 3, phrase).otherwise(terms).alias("query"))
 
 
+
+
+_KIND = "CASE WHEN length(text) < 80 THEN 'short' WHEN contains(text, '|') THEN 'table' ELSE 'paragraph' END"
+
+
+@query(f"SELECT chunk_id FROM v_chunk WHERE {_KIND} = 'table'")
+def f10_chunk_type(spark: SparkSession, d: str) -> DataFrame:
+    return S.chunk(spark, d).where(f"{_KIND} = 'table'").select("chunk_id")
+
+
+@query("SELECT doc_id, page_number, page_id, title FROM v_page ORDER BY doc_id, page_number LIMIT 200")
+def f15_page_list(spark: SparkSession, d: str) -> DataFrame:
+    return B.paged(S.page(spark, d).select("doc_id", "page_number", "page_id", "title"), ["doc_id", "page_number"], limit=200, most=1000)
+
+
+@query("""
+SELECT item_id, CASE WHEN len(ws) > 0 THEN '"' || q || '"^4 OR (' || array_to_string(ws, ' OR ') || ')' ELSE '"' || q || '"' END AS query
+FROM (SELECT item_id, query AS q, list_filter(string_split(query, ' '), lambda w: length(w) >= 2) AS ws FROM v_query)""")
+def x3_keyword_query(spark: SparkSession, d: str) -> DataFrame:
+    return S.query(spark, d).select("item_id", X.keyword_query(F.col("query")).alias("query"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
+
+
+@query(f"""
+SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(string_split(query, ' '), lambda t: length(t) >= 4 AND t NOT IN ({_STOP})))), '|') AS terms,
+  array_to_string(list_filter(string_split(query, ' '), lambda t: length(t) >= 3), '|') AS graph_terms FROM v_query""")
+def x5_query_terms(spark: SparkSession, d: str) -> DataFrame:
+    ts = F.split("query", " ")
+    long = F.filter(ts, lambda t: (F.length(t) >= 4) & ~t.isin(*X.STOPWORDS))
+    return S.query(spark, d).select(
+        "item_id", F.array_join(F.sort_array(F.array_distinct(long)), "|").alias("terms"),
+        F.array_join(F.filter(ts, lambda t: F.length(t) >= 3), "|").alias("graph_terms"),
+    )
+
+
+_CAPPED = ", ".join(f"CASE WHEN length(s) > {n} THEN '' ELSE s END AS {name}" for name, n in C.MAX_LEN.items())
+
+
+@query(f"""
+WITH n AS (SELECT p_partkey, p_name || ' ' || repeat('x', p_size * 3) AS s FROM part) SELECT p_partkey, {_CAPPED} FROM n""")
+def x8_field_caps(spark: SparkSession, d: str) -> DataFrame:
+    s = F.expr("p_name || ' ' || repeat('x', p_size * 3)")
+    return table(spark, d, "part").select("p_partkey", *[C.entity_name(s, n).alias(name) for name, n in C.MAX_LEN.items()])
+
+
+@query(f"""
+SELECT doc_id, substr(text, 1, 500) AS context, CASE WHEN {strip_sql('text')} <> '' AND length({strip_sql('text')}) <= 500 THEN {strip_sql('text')} END AS description,
+  array_to_string(list_filter(list_transform(string_split(text, ','), lambda x: {strip_sql('x')}), lambda x: x <> '' AND length(x) <= 200)[1:20], '|') AS variables FROM documents""")
+def x11_validators(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, d, "documents").select(
+        "doc_id", C.context(t).alias("context"), C.bounded_text(t).alias("description"),
+        F.array_join(C.variables(F.split(t, ",", -1)), "|").alias("variables"),
+    )
+
+
+@query("SELECT item_id, 'search_query: ' || query AS q, 'search_document: ' || query AS d, query AS plain FROM v_query")
+def x26_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    q = F.col("query")
+    return S.query(spark, d).select("item_id", X.query_text(q, True).alias("q"), X.document_text(q, True).alias("d"), X.query_text(q, False).alias("plain"))
+
+
+@query("SELECT vec_id, round(list_dot_product(v, (SELECT v FROM v_vec WHERE vec_id = 0)), 6) AS d FROM v_vec")
+def x23_dot(spark: SparkSession, d: str) -> DataFrame:
+    return S.vec(spark, d).select("vec_id", F.round(V.dot("v", S.first_vector(spark, d)), 6).alias("d"))
