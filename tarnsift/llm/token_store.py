@@ -187,11 +187,11 @@ def _counts(encoded: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in slices(batches):
-            for n, ids in zip(batch.column("n").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                c = np.bincount(np.frombuffer(ids, _kind(n, ids)))
-                if len(c) > len(total):
-                    total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
-                total[: len(c)] += c
+            n, ids = sum(batch.column("n").to_pylist()), b"".join(batch.column("ids").to_pylist())
+            c = np.bincount(np.frombuffer(ids, _kind(n, ids)))
+            if len(c) > len(total):
+                total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
+            total[: len(c)] += c
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
