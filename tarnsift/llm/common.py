@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -30,7 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = jdir.get() if jdir.isDefined() else None
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tarnsift-")
+        folder = tempfile.mkdtemp(prefix="tarnsift-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tarnsift-{uuid.uuid4().hex}"
 
