@@ -34,7 +34,9 @@ def phrase_count(tokens: str, phrase: Sequence[str]) -> Column:
     m = len(phrase)
     at = F.sequence(F.lit(1), F.size(tokens) - (m - 1))
     hits = F.filter(at, lambda i: F.slice(tokens, i, m) == F.array(*map(F.lit, phrase)))
-    return F.when(F.size(tokens) >= m, F.size(hits)).otherwise(F.lit(0))
+    # Few texts hold the words in a row at all, and only those are counted position by position.
+    near = F.contains(F.array_join(tokens, " "), F.lit(" ".join(phrase)))
+    return F.when((F.size(tokens) >= m) & near, F.size(hits)).otherwise(F.lit(0))
 
 
 def _equals(term: str) -> Callable[[Column], Column]:
