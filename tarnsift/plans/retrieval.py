@@ -40,8 +40,7 @@ b_{source} AS (SELECT k AS {key}, round(sum(idf * (tf / (tf + 1.2 * (0.25 + 0.75
 
 def fused(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     vecs = S.vec(spark, d).select("chunk_id")
-    text = F.substring("text", 1, 2000)
-    docs = S.document(spark, d).select(F.col("doc_id").alias("chunk_id"), F.expr("doc_id div 5").alias("page_id"), text.alias("text"))
+    docs = S.document(spark, d).select(F.col("doc_id").alias("chunk_id"), F.expr("doc_id div 5").alias("page_id"), "text")
     chunks = docs.join(vecs, "chunk_id", "left_semi").withColumn("tokens", X.tokens(F.col("text")))
     pages = chunks.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "tokens"))).alias("l"))
     return chunks, pages.select("page_id", F.flatten(F.transform("l", lambda x: x["tokens"])).alias("tokens"))
