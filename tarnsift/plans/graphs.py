@@ -167,7 +167,7 @@ _PAIRS = "SELECT a.page_id AS src, b.page_id AS dst, count(*) AS weight FROM v_m
 
 @query(_PAIRS)
 def g13_projection(spark: SparkSession, d: str) -> DataFrame:
-    return M.project(S.mention(spark, d), min_weight=2)
+    return M.project(S.mention(spark, d))
 
 
 @query(f"""
@@ -175,12 +175,12 @@ WITH RECURSIVE e AS (SELECT src, dst FROM ({_PAIRS}) UNION ALL SELECT dst, src F
 r(a, b) AS (SELECT src, src FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b)
 SELECT a AS node, min(b) AS component FROM r GROUP BY 1""")
 def g13_components(spark: SparkSession, d: str) -> DataFrame:
-    return M.connected(M.project(S.mention(spark, d), min_weight=2))
+    return M.connected(M.project(S.mention(spark, d)))
 
 
 @query()
 def g14_detect(spark: SparkSession, d: str) -> DataFrame:
-    return M.detect(M.project(S.mention(spark, d), min_weight=2))
+    return M.detect(M.project(S.mention(spark, d)))
 
 
 # A fixed membership of two levels.

@@ -2,11 +2,15 @@
 
 import math
 import re
+from collections import Counter
+from itertools import combinations
 
 import pytest
 
 from tarnsift.operators import retrieval as R
 from tarnsift.plans import retrieval
+from tarnsift.plans.all import QUERIES
+from tarnsift.sources import fixtures as S
 
 
 @pytest.fixture
@@ -33,3 +37,24 @@ def test_fused_search_indexes_whole_texts(spark, long_texts):
     want = {k: idf * n / (n + 1.2 * (0.25 + 0.75 * len(tokens[k]) / mean)) for k, n in tf.items()}
     assert got == pytest.approx(want, abs=1e-6) and len(has) == 3
     assert pages.first().tokens == sum(tokens, [])
+
+
+def test_projection_has_every_pair_that_shares_an_entity(spark, sf):
+    pages = {}
+    for r in S.mention(spark, sf).collect():
+        pages.setdefault(r.entity_key, set()).add(r.page_id)
+    want = Counter(pair for p in pages.values() for pair in combinations(sorted(p), 2))
+    got = {(r.src, r.dst): r.weight for r in QUERIES["g13_projection"](spark, sf).collect()}
+    assert got == want and 1 in want.values()
+    parent = {n: n for pair in want for n in pair}
+
+    def find(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in want:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    assert dict(QUERIES["g13_components"](spark, sf).collect()) == {n: find(n) for n in parent}
+    assert {r.page_id for r in QUERIES["g14_detect"](spark, sf).collect()} <= set(parent)
