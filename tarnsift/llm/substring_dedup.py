@@ -5,9 +5,9 @@ occurs again is a repeat of its first occurrence, the one of least (doc_id, star
 
 Edges are dealt as graph compaction does it: by minimizer. An edge's minimizer is the least
 hash among its SEED-word k-mers, leftmost first, so equal edges share it, and neighbouring
-edges mostly do too. One record per minimizer occurrence carries all its edges: 64 bits of
-the minimizer and 32 bits of each edge identify it, about half of what shipping edges one by
-one takes. A record whose minimizer occurs once has no repeated edge and is dropped at sight.
+edges mostly do too. One record per minimizer occurrence carries all its edges. 64 bits of the
+minimizer and 64 bits of each edge, by a second hash with byte values and bases of its own,
+identify it. A record whose minimizer occurs once has no repeated edge and is dropped at sight.
 Each map task first sends only the first occurrence of an edge among its own documents, the
 others being repeats already; so a passage in a third of all documents is one record per task.
 A minimizer within a common line has other words around it in each document, so its edges stay
@@ -17,8 +17,8 @@ records go, the same for all tasks, and the list is bounded by the number of buc
 
 Repeated edges then go back to their documents, with the source coordinates of the first
 occurrence. Joined there with the text, neighbouring edges whose sources are neighbours too
-compact to spans: the nonbranching paths of the graph. A span of two or more edges verifies
-itself, since its source coordinates advance with it; ``spans`` returns these.
+compact to paths, the nonbranching paths of the graph: ``spans`` returns them, ``kept`` and
+``rewrite`` take out their words. Words aren't compared one by one with those of the source.
 
 Two shuffles: records by minimizer, and compressed texts with their repeats by document.
 
@@ -59,7 +59,10 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[ord(c) for c in BLANKS]] = True
 _U = np.uint64
 _BASE, _STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_BYTE = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_BASE2, _STEP2 = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
+_BYTE, _BYTE2 = (
+    np.random.default_rng(k).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1) for k in (20, 21)
+)
 
 
 def _powers(base: int, n: int, memo: dict = {}) -> np.ndarray:  # noqa: B006  a cache per process
@@ -87,12 +90,13 @@ def _ranges(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, base: int) -> np
     return _mix((sums[hi] - sums[lo]) * _powers(inverse, n)[lo] + (hi - lo).astype(np.uint64))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of all texts in order, and the number of words of each text."""
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two independent hashes of each word of all texts in order, and the number of words of
+    each text."""
     size = np.array([len(t) for t in texts], np.int64)
     buf = np.frombuffer(b"".join(texts), np.uint8)
     if not len(buf):
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
     first = np.cumsum(size) - size
     word = ~_SPACE[buf]
     before, after = np.ones(len(buf), bool), np.ones(len(buf), bool)
@@ -101,21 +105,21 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     before[cuts], after[cuts - 1] = True, True
     lo, hi = np.flatnonzero(word & before), np.flatnonzero(word & after) + 1
     at = np.searchsorted(lo, np.append(first, len(buf)))
-    return _ranges(_BYTE[buf], lo, hi, _BASE), np.diff(at)
+    return _ranges(_BYTE[buf], lo, hi, _BASE), _ranges(_BYTE2[buf], lo, hi, _BASE2), np.diff(at)
 
 
 def edges(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of every edge of all texts in order: index of its text, start, hash, hash of its
-    minimizer and the minimizer's offset in it."""
-    h, n = word_hashes(texts)
+    """Of every edge of all texts in order: index of its text, start, hash, second hash, hash of
+    its minimizer and the minimizer's offset in it."""
+    h, h2, n = word_hashes(texts)
     first = np.cumsum(n) - n
     count = np.maximum(n - WINDOW + 1, 0)
     of = np.repeat(np.arange(len(texts)), count)
     start = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
     at = first[of] + start
     if not len(at):
-        return of, start, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint8)
-    whole = _ranges(h, at, at + WINDOW, _STEP)
+        return of, start, *[np.zeros(0, np.uint64)] * 3, np.zeros(0, np.uint8)
+    whole, check = _ranges(h, at, at + WINDOW, _STEP), _ranges(h2, at, at + WINDOW, _STEP2)
     k = np.arange(len(h) - SEED + 1)
     seeds = _ranges(h, k, k + SEED, _STEP)
     least, offset = seeds[at], np.zeros(len(at), np.uint8)
@@ -123,7 +127,7 @@ def edges(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         x = seeds[at + o]
         less = x < least
         least, offset = np.where(less, x, least), np.where(less, np.uint8(o), offset)
-    return of, start, whole, least, offset
+    return of, start, whole, check, least, offset
 
 
 def _part(doc: np.ndarray, parts: int) -> np.ndarray:
@@ -168,13 +172,13 @@ def _anchors(doc, pos, least, offset) -> np.ndarray:
 def _records(
     batch: list[tuple[np.ndarray, ...]], buckets: int, parts: int, heavy: np.ndarray
 ) -> Iterator[tuple[int, int, bytes]]:
-    """(bucket, document part or -1, blob) of a run of edges (doc, pos, whole, least, offset)."""
-    doc, pos, whole, least, offset = (np.concatenate(x) for x in zip(*batch, strict=True))
+    """(bucket, document part or -1, blob) of a run of edges (doc, pos, whole, check, least, offset)."""
+    doc, pos, whole, check, least, offset = (np.concatenate(x) for x in zip(*batch, strict=True))
     if (np.diff(doc) < 0).any() or ((np.diff(doc) == 0) & (np.diff(pos) < 0)).any():
         order = np.lexsort((pos, doc))
-        doc, pos, whole, least, offset = (x[order] for x in (doc, pos, whole, least, offset))
-    by = np.argsort(whole, kind="stable")
-    head = np.concatenate([[True], whole[by][1:] != whole[by][:-1]])
+        doc, pos, whole, check, least, offset = (x[order] for x in (doc, pos, whole, check, least, offset))
+    by = np.lexsort((check, whole))
+    head = np.concatenate([[True], (whole[by][1:] != whole[by][:-1]) | (check[by][1:] != check[by][:-1])])
     lead = by[np.flatnonzero(head)[np.cumsum(head) - 1]]
     again = by[~head]
     if len(again):
@@ -182,7 +186,7 @@ def _records(
         for p, blob in _repeats(doc[again], pos[again], doc[src], pos[src], parts):
             yield p % buckets, p, blob
     keep = np.sort(by[head])
-    doc, pos, whole, least, offset = (x[keep] for x in (doc, pos, whole, least, offset))
+    doc, pos, whole, check, least, offset = (x[keep] for x in (doc, pos, whole, check, least, offset))
     if len(heavy):
         hot = heavy[np.minimum(np.searchsorted(heavy, least), len(heavy) - 1)] == least
         least, offset = np.where(hot, _mix(whole ^ _U(_BASE)), least), np.where(hot, np.uint8(0), offset)
@@ -190,33 +194,32 @@ def _records(
     at = np.flatnonzero(_anchors(doc, pos, least, offset))
     bits = np.left_shift(1, SPAN - 1 - offset.astype(np.int64))
     mask = np.add.reduceat(bits, at).astype("<u2")
-    low = whole.astype("<u4")  # the lower 32 bits
     seed, r_doc, r_anchor = least[at], doc[at], anchor[at]
     bucket = (((seed >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     n_edges = np.diff(np.append(at, len(doc)))
     # Edges of the records in their new order.
     take = np.repeat(at[order] - (np.cumsum(n_edges[order]) - n_edges[order]), n_edges[order]) + np.arange(len(doc))
-    low = low[take]
+    check = check[take].astype("<u8")
     ends = np.cumsum(n_edges[order])
     bucket = bucket[order]
     cut = np.flatnonzero(np.diff(bucket, prepend=-1))
     for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)], strict=True):
         rows = order[a:b]
         e0, e1 = int(ends[a - 1]) if a else 0, int(ends[b - 1])
-        raw = seed[rows].astype("<u8").tobytes() + low[e0:e1].tobytes()
+        raw = seed[rows].astype("<u8").tobytes() + check[e0:e1].tobytes()
         yield int(bucket[a]), -1, _pack([r_doc[rows].astype("<i8"), r_anchor[rows].astype("<i8"), mask[rows]], raw)
 
 
 def _found(blobs: list[bytes], parts: int) -> Iterator[tuple[int, bytes]]:
     """The repeated edges of a bucket's records."""
-    docs, anchors, masks, seeds, lows = [], [], [], [], []
+    docs, anchors, masks, seeds, checks = [], [], [], [], []
     for b in blobs:
         (doc, anchor, mask), raw = _unpack(b, ["<i8", "<i8", "<u2"])
         docs.append(doc), anchors.append(anchor), masks.append(mask)
         seeds.append(np.frombuffer(raw, "<u8", len(doc)))
-        lows.append(np.frombuffer(raw, "<u4", -1, 8 * len(doc)))
-    doc, anchor, mask, seed, low = map(np.concatenate, (docs, anchors, masks, seeds, lows))
+        checks.append(np.frombuffer(raw, "<u8", -1, 8 * len(doc)))
+    doc, anchor, mask, seed, check = map(np.concatenate, (docs, anchors, masks, seeds, checks))
     n_edges = np.bitwise_count(mask).astype(np.int64)
     first = np.cumsum(n_edges) - n_edges
     by = np.argsort(seed)
@@ -231,14 +234,12 @@ def _found(blobs: list[bytes], parts: int) -> Iterator[tuple[int, bytes]]:
     bits = (mask[keep][:, None] >> np.arange(SPAN, dtype="<u2")) & 1
     rec, bit = np.nonzero(bits)
     nth = np.arange(len(rec)) - np.repeat(np.cumsum(n_edges[keep]) - n_edges[keep], n_edges[keep])
-    value = low[first[keep][rec] + nth].astype(np.uint64)
+    value = check[first[keep][rec] + nth]
     e_doc, e_pos = doc[keep][rec], anchor[keep][rec] - (SPAN - 1) + bit
     dense = np.unique(group[keep], return_inverse=True)[1]
-    if len(dense) >= 1 << 28:
-        raise ValueError("a bucket holds too many records: raise spark.sql.shuffle.partitions")
-    key = (dense[rec].astype(np.uint64) << _U(36)) | (bit.astype(np.uint64) << _U(32)) | value
-    by = np.argsort(key, kind="stable")
-    head = np.concatenate([[True], key[by][1:] != key[by][:-1]])
+    place = (dense[rec] << 4) | bit
+    by = np.lexsort((value, place))
+    head = np.concatenate([[True], (place[by][1:] != place[by][:-1]) | (value[by][1:] != value[by][:-1])])
     lead = by[np.flatnonzero(head)[np.cumsum(head) - 1]]
     again, src = by[~head], lead[~head]
     if len(again):
@@ -271,7 +272,7 @@ def _heavy(slim: DataFrame, buckets: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1000):
-            of, start, _, least, offset = edges(_texts(batch.column("text")))
+            of, start, _, _, least, offset = edges(_texts(batch.column("text")))
             if not len(of):
                 continue
             seeds, n = np.unique(least[_anchors(of, start, least, offset)], return_counts=True)
@@ -384,18 +385,21 @@ def _each(table: pa.Table):
         yield rows, out
 
 
-def _covered(n: int, starts: np.ndarray) -> np.ndarray:
-    """Which of ``n`` words are in a window that starts at one of ``starts``."""
-    step = np.zeros(n + 1, np.int64)
-    np.add.at(step, starts, 1)
-    np.add.at(step, starts + WINDOW, -1)
-    return np.cumsum(step[:n]) > 0
+def _paths(p: np.ndarray, s: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where paths begin among repeated edges (start, source, offset of the source), and how many
+    edges each has: neighbours of which the sources are neighbours too."""
+    at = np.flatnonzero(np.concatenate([[True], (np.diff(p) != 1) | (np.diff(s) != 0) | (np.diff(o) != 0)])[: len(p)])
+    return at, np.diff(np.append(at, len(p)))
 
 
-def _left(words: list[bytes], starts: np.ndarray) -> list[bytes]:
-    if not len(starts):
-        return words
-    return [w for w, gone in zip(words, _covered(len(words), starts).tolist(), strict=True) if not gone]
+def _left(words: list[bytes], p: np.ndarray, s: np.ndarray, o: np.ndarray) -> list[bytes]:
+    """``words`` without those of the paths of their repeated edges."""
+    at, n = _paths(p, s, o)
+    left, done = [], 0
+    for a, b in zip(p[at].tolist(), (p[at] + n + WINDOW - 1).tolist(), strict=True):
+        left += words[done:a]
+        done = max(done, b)
+    return left + words[done:]
 
 
 def kept(docs: DataFrame, digest: bool = False) -> DataFrame:
@@ -406,8 +410,8 @@ def kept(docs: DataFrame, digest: bool = False) -> DataFrame:
         cols: list[list] = [[], [], [], []]
         for rows, each in _each(table):
             cols[0] += [None if d == _NULL else d for d in rows.column("__doc").to_pylist()]
-            for words, starts, _, _ in each:
-                left = _left(words, starts)
+            for words, *repeated in each:
+                left = _left(words, *repeated)
                 text = b" ".join(left)
                 cols[1].append(len(words))
                 cols[2].append(len(words) - len(left))
@@ -429,8 +433,7 @@ def spans(docs: DataFrame, least_edges: int = 1) -> DataFrame:
             for d, (_, p, s, o) in zip(rows.column("__doc").to_pylist(), each, strict=True):
                 if not len(p):
                     continue
-                at = np.flatnonzero(np.concatenate([[True], (np.diff(p) != 1) | (np.diff(s) != 0) | (np.diff(o) != 0)]))
-                for a, n in zip(at.tolist(), np.diff(np.append(at, len(p))).tolist(), strict=True):
+                for a, n in zip(*(x.tolist() for x in _paths(p, s, o)), strict=True):
                     if n >= least_edges:
                         source = None if s[a] == _NULL else int(s[a])
                         out.append((None if d == _NULL else d, int(p[a]), n + WINDOW - 1, source, int(p[a] + o[a]) & 0xFFFFFFFF))
@@ -452,9 +455,9 @@ def rewrite(docs: DataFrame) -> DataFrame:
         out = []
         for rows, each in _each(table):
             texts = rows.column("text").to_pylist()
-            for r, (words, starts, _, _) in enumerate(each):
-                if len(starts):
-                    texts[r] = b" ".join(_left(words, starts)).decode("utf-8")
+            for r, (words, *repeated) in enumerate(each):
+                if len(repeated[0]):
+                    texts[r] = b" ".join(_left(words, *repeated)).decode("utf-8")
             kind = rows.schema.field("text").type
             out.append(rows.set_column(rows.schema.get_field_index("text"), "text", pa.array(texts, kind)).select(names))
         return pa.concat_tables(out) if out else empty(table)

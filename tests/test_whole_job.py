@@ -5,12 +5,15 @@ import re
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 
+from tarnsift.llm import substring_dedup
 from tarnsift.operators import retrieval as R
 from tarnsift.plans import retrieval
 from tarnsift.plans.all import QUERIES
 from tarnsift.sources import fixtures as S
+from tests.llm.cases import prose
 
 
 @pytest.fixture
@@ -58,3 +61,20 @@ def test_projection_has_every_pair_that_shares_an_entity(spark, sf):
         parent[max(a, b)] = min(a, b)
     assert dict(QUERIES["g13_components"](spark, sf).collect()) == {n: find(n) for n in parent}
     assert {r.page_id for r in QUERIES["g14_detect"](spark, sf).collect()} <= set(parent)
+
+
+@pytest.mark.parametrize("base", [substring_dedup._BASE, substring_dedup._STEP])
+def test_edges_of_one_hash_are_told_apart_by_the_second(base, monkeypatch):
+    """The first hash of all words, or of all edges and minimizers, is one value."""
+    real = substring_dedup._ranges
+    monkeypatch.setattr(substring_dedup, "_ranges", lambda v, lo, hi, b: real(v, lo, hi, b) * np.uint64(b != base))
+
+    def repeated(*texts):
+        of, *rest = substring_dedup.edges([t.encode() for t in texts])
+        made = list(substring_dedup._records([(of, *rest)], 1, 1, np.zeros(0, np.uint64)))
+        told = [b for _, p, b in made if p >= 0] + [b for _, b in substring_dedup._found([b for _, p, b in made if p < 0], 1)]
+        return sum(len(substring_dedup._unpack(b, ["<i8"] * 4)[0][0]) for b in told)
+
+    one, two = prose(1, 40), prose(2, 40)
+    assert repeated(one, two) == 0
+    assert repeated(one, two, one) == 21
