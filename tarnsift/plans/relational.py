@@ -150,8 +150,7 @@ def j1_traversal(spark: SparkSession, d: str) -> DataFrame:
 SELECT m.entity_key, count(DISTINCT x.page_id) AS page_mentions FROM v_material m
 LEFT JOIN (SELECT * FROM v_mention WHERE page_id % 50 = 0) x ON x.entity_key = m.entity_key GROUP BY 1""")
 def j2_left_counts(spark: SparkSession, d: str) -> DataFrame:
-    few = S.mention(spark, d).where("page_id % 50 = 0")
-    return B.mention_counts(S.material(spark, d).select("entity_key"), few)
+    return B.mention_counts(S.material(spark, d).select("entity_key"), S.mention(spark, d))
 
 
 @query("SELECT page_id FROM v_kg_page p WHERE EXISTS (SELECT 1 FROM v_mention m WHERE m.page_id = p.page_id AND m.support_count > 1)")
@@ -310,15 +309,13 @@ def u1_union_dedup(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT DISTINCT entity_key FROM v_mention WHERE page_id % 10 = 1 AND entity_key NOT IN (SELECT entity_key FROM v_mention WHERE page_id % 10 = 0)""")
 def u2_difference(spark: SparkSession, d: str) -> DataFrame:
-    m = S.mention(spark, d)
-    seen = m.where("page_id % 10 = 1").select("entity_key").distinct()
-    return seen.join(m.where("page_id % 10 = 0"), "entity_key", "left_anti")
+    return S.kg_page(spark, d).select("page_id").distinct().join(S.mention(spark, d), "page_id", "left_anti")
 
 
 @query("SELECT a.material_type, count(DISTINCT a.entity_key) AS shared FROM v_material a JOIN v_mention m ON m.entity_key = a.entity_key AND m.page_id % 2 = 0 GROUP BY 1")
 def u3_intersection(spark: SparkSession, d: str) -> DataFrame:
-    even = S.mention(spark, d).where("page_id % 2 = 0").select("entity_key")
-    return S.material(spark, d).join(even, "entity_key", "left_semi").groupBy("material_type").agg(F.count("*").alias("shared"))
+    seen = S.mention(spark, d).select("entity_key")
+    return S.material(spark, d).join(seen, "entity_key", "left_semi").groupBy("material_type").agg(F.count("*").alias("shared"))
 
 
 @query("SELECT DISTINCT dst FROM v_references")

@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tarnsift.llm import substring_dedup
 from tarnsift.operators import retrieval as R
@@ -78,3 +79,22 @@ def test_edges_of_one_hash_are_told_apart_by_the_second(base, monkeypatch):
     one, two = prose(1, 40), prose(2, 40)
     assert repeated(one, two) == 0
     assert repeated(one, two, one) == 21
+
+
+def test_sets_and_counts_take_whole_tables(spark, sf, tmp_path):
+    """With a part that no line has, so one entity is without mentions."""
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    more = part.limit(1).withColumn("p_partkey", F.lit(999_999).cast("long"))
+    part.unionByName(more).write.parquet(f"{tmp_path}/part.parquet")
+    for t in ("lineitem", "orders"):
+        spark.read.parquet(f"{sf}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    folder = str(tmp_path)
+    parts = {r.p_partkey: r.p_type for r in part.unionByName(more).collect()}
+    lines = {(r.l_orderkey, r.l_partkey) for r in spark.read.parquet(f"{sf}/lineitem.parquet").collect()}
+    orders = {r.o_orderkey for r in spark.read.parquet(f"{sf}/orders.parquet").collect()}
+    n = Counter(e for _, e in lines)
+    assert dict(QUERIES["j2_left_counts"](spark, folder).collect()) == {e: n[e] for e in parts} and 0 in [n[e] for e in parts]
+    left = [r[0] for r in QUERIES["u2_difference"](spark, folder).collect()]
+    assert sorted(left) == sorted(orders - {p for p, _ in lines}) and left
+    both = Counter(t for e, t in parts.items() if e in n)
+    assert dict(QUERIES["u3_intersection"](spark, folder).collect()) == both
