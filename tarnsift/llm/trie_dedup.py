@@ -22,7 +22,7 @@ Defined cases: a null or empty text has the fingerprint zero and is linked like
 text of fewer than three words is one shingle; rows that repeat are one entry; rows that share
 a doc_id are separate but have equal ids, and a null doc_id is never chosen as component id
 unless all are null; an empty table gives an empty result; further columns are dropped by
-``components`` and kept by ``keep_first``.
+``components`` and kept by ``keep_first``, but for the name __key.
 """
 
 from __future__ import annotations
@@ -61,11 +61,12 @@ def shingle_hashes(words: str, k: int = SHINGLE) -> Column:
     )
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint, a row for each of ``docs``."""
-    cut = docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", words(F.col("text")).alias("__w"))
-    hashed = cut.select("__row", "doc_id", shingle_hashes("__w").alias("__h"))
-    return vote(hashed, ["__row", "doc_id"], "__h", weighted=False).select("doc_id", "fingerprint")
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, columns ``more`` and fingerprint, a row for each of ``docs``."""
+    keys = ["doc_id", *more]
+    cut = docs.select(F.monotonically_increasing_id().alias("__row"), *keys, words(F.col("text")).alias("__w"))
+    hashed = cut.select("__row", *keys, shingle_hashes("__w").alias("__h"))
+    return vote(hashed, ["__row", *keys], "__h", weighted=False).select(*keys, "fingerprint")
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -242,28 +243,41 @@ def components(edges: DataFrame, base: str) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _rooted(fps: DataFrame, base: str, radius: int, *first: Column) -> DataFrame:
+    """fingerprint, columns ``first`` (aggregates of its rows) and root, of distinct fingerprints."""
+    entries = stage(fps.groupBy("fingerprint").agg(*first), f"{base}/entries")
+    tied = components(links(entries.select("fingerprint"), entries.count(), radius), f"{base}/components")
+    rooted = entries.join(tied.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
+    return stage(rooted.withColumn("root", F.coalesce("root", "fingerprint")), f"{base}/rooted")
+
+
 def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (long) and component_id, a row for each of ``docs``."""
     base = shared_dir(docs.sparkSession)
     fps = stage(fingerprints(docs), f"{base}/fingerprints")
-    entries = stage(fps.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), f"{base}/entries")
-    tied = components(links(entries.select("fingerprint"), entries.count(), radius), f"{base}/components")
     # Per distinct fingerprint its root, then the smallest doc_id of the root.
-    rooted = entries.join(tied.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
-    rooted = stage(rooted.select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root")), f"{base}/rooted")
+    rooted = _rooted(fps, base, radius, F.min("doc_id").alias("first"))
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     found = rooted.join(ids, "root").select("fingerprint", "component_id")
     return fps.join(found, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` without the documents that have a smaller doc_id in their component. Rows that
-    share a doc_id are one document: the one of the first text stays."""
-    found = classes(docs, radius)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(stage(gone, shared_dir(docs.sparkSession)), "doc_id", "left_anti").select(*docs.columns)
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    return kept.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    """``docs`` with one row of each component: that of the smallest doc_id, null last. Rows are
+    told apart by doc_id and text, so rows of different components stay whatever their ids; of
+    equal rows one stays."""
+    base = shared_dir(docs.sparkSession)
+    parts = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit(""))]
+    keyed = docs.withColumn("__key", F.sha2(F.concat(*parts), 256))
+    fps = stage(fingerprints(keyed, "__key"), f"{base}/fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col("__key").alias("key"))
+    rooted = _rooted(fps, base, radius, F.min(place).alias("first"))
+    heads = rooted.groupBy("root").agg(F.min("first").alias("head")).select("root", F.col("head.key").alias("head"))
+    found = fps.join(rooted.join(heads, "root").select("fingerprint", "head"), "fingerprint")
+    gone = found.where("__key <> head").select("__key").distinct()
+    kept = keyed.join(stage(gone, f"{base}/gone"), "__key", "left_anti")
+    order = Window.partitionBy("__key").orderBy(F.col("text").asc_nulls_last())
+    return kept.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*docs.columns)
 
 
 def op10(docs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnsift.llm import substring_dedup
+from tarnsift.llm import substring_dedup, trie_dedup
 from tarnsift.operators import retrieval as R
 from tarnsift.plans import retrieval
 from tarnsift.plans.all import QUERIES
@@ -98,3 +98,11 @@ def test_sets_and_counts_take_whole_tables(spark, sf, tmp_path):
     assert sorted(left) == sorted(orders - {p for p, _ in lines}) and left
     both = Counter(t for e, t in parts.items() if e in n)
     assert dict(QUERIES["u3_intersection"](spark, folder).collect()) == both
+
+
+def test_near_dedup_keeps_different_texts_of_null_or_shared_ids(spark):
+    a, b, c, d = (prose(50 + k, 60) for k in range(4))
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (2, d), (None, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, trie_dedup.keep_first(df).collect()), key=str)
+    assert got == sorted([(None, a), (None, b), (1, c), (1, d)], key=str)
