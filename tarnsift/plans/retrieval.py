@@ -20,8 +20,7 @@ _Q = "(SELECT v FROM v_vec WHERE vec_id = 0)"
 _DENSE = f"round((1 + list_dot_product(v, {_Q})) / 2, 6)"
 
 _FUSED = f"""
-f_chunk AS (SELECT d.doc_id AS chunk_id, d.doc_id // 5 AS page_id, {_TOK.format("substr(d.text, 1, 2000)")} AS tokens, substr(d.text, 1, 2000) AS text
-  FROM documents d JOIN v_vec ON v_vec.vec_id = d.doc_id),
+f_chunk AS (SELECT d.doc_id AS chunk_id, d.doc_id // 5 AS page_id, {_TOK.format("coalesce(d.text, '')")} AS tokens FROM documents d),
 f_page AS (SELECT page_id, flatten(list(tokens ORDER BY chunk_id)) AS tokens FROM f_chunk GROUP BY 1)"""
 
 
@@ -39,9 +38,8 @@ b_{source} AS (SELECT k AS {key}, round(sum(idf * (tf / (tf + 1.2 * (0.25 + 0.75
 
 
 def fused(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    vecs = S.vec(spark, d).select("chunk_id")
     docs = S.document(spark, d).select(F.col("doc_id").alias("chunk_id"), F.expr("doc_id div 5").alias("page_id"), "text")
-    chunks = docs.join(vecs, "chunk_id", "left_semi").withColumn("tokens", X.tokens(F.col("text")))
+    chunks = docs.withColumn("tokens", X.tokens(F.col("text")))
     pages = chunks.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "tokens"))).alias("l"))
     return chunks, pages.select("page_id", F.flatten(F.transform("l", lambda x: x["tokens"])).alias("tokens"))
 

@@ -5,17 +5,13 @@ import re
 from collections import Counter
 from itertools import combinations
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from tarnsift.llm import substring_dedup, toxicity, trie_dedup
 from tarnsift.operators import retrieval as R
 from tarnsift.plans import retrieval
 from tarnsift.plans.all import QUERIES
 from tarnsift.sources import fixtures as S
-from tests.llm.cases import prose
 
 
 @pytest.fixture
@@ -65,23 +61,6 @@ def test_projection_has_every_pair_that_shares_an_entity(spark, sf):
     assert {r.page_id for r in QUERIES["g14_detect"](spark, sf).collect()} <= set(parent)
 
 
-@pytest.mark.parametrize("base", [substring_dedup._BASE, substring_dedup._STEP])
-def test_edges_of_one_hash_are_told_apart_by_the_second(base, monkeypatch):
-    """The first hash of all words, or of all edges and minimizers, is one value."""
-    real = substring_dedup._ranges
-    monkeypatch.setattr(substring_dedup, "_ranges", lambda v, lo, hi, b: real(v, lo, hi, b) * np.uint64(b != base))
-
-    def repeated(*texts):
-        of, *rest = substring_dedup.edges([t.encode() for t in texts])
-        made = list(substring_dedup._records([(of, *rest)], 1, 1, np.zeros(0, np.uint64)))
-        told = [b for _, p, b in made if p >= 0] + [b for _, b in substring_dedup._found([b for _, p, b in made if p < 0], 1)]
-        return sum(len(substring_dedup._unpack(b, ["<i8"] * 4)[0][0]) for b in told)
-
-    one, two = prose(1, 40), prose(2, 40)
-    assert repeated(one, two) == 0
-    assert repeated(one, two, one) == 21
-
-
 def test_sets_and_counts_take_whole_tables(spark, sf, tmp_path):
     """With a part that no line has, so one entity is without mentions."""
     part = spark.read.parquet(f"{sf}/part.parquet")
@@ -99,23 +78,3 @@ def test_sets_and_counts_take_whole_tables(spark, sf, tmp_path):
     assert sorted(left) == sorted(orders - {p for p, _ in lines}) and left
     both = Counter(t for e, t in parts.items() if e in n)
     assert dict(QUERIES["u3_intersection"](spark, folder).collect()) == both
-
-
-def test_near_dedup_keeps_different_texts_of_null_or_shared_ids(spark):
-    a, b, c, d = (prose(50 + k, 60) for k in range(4))
-    rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (2, d), (None, c)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = sorted(map(tuple, trie_dedup.keep_first(df).collect()), key=str)
-    assert got == sorted([(None, a), (None, b), (1, c), (1, d)], key=str)
-
-
-def test_pipeline_toxicity_fills_its_sample_from_documents_left(spark, tmp_path, monkeypatch):
-    labels = [(k, k % 2, k % 2) for k in range(400)]
-    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    docs = spark.createDataFrame([(k, f"word {k}") for k in range(100)], "doc_id long, text string")
-    monkeypatch.setattr(toxicity, "MAX_DOCS", {0: 20, 1: 20})
-    seen = []
-    fit = toxicity.fit
-    monkeypatch.setattr(toxicity, "fit", lambda rows: seen.append(rows) or fit(rows))
-    corpus_pipeline.clean(spark, docs, str(tmp_path))
-    assert Counter(y for _, y in seen[0]) == {0: 20, 1: 20}
