@@ -6,8 +6,8 @@ occurs again is a repeat of its first occurrence, the one of least (doc_id, star
 1. Edges are dealt as graph compaction does it: by minimizer. An edge's minimizer is the least
    hash among its SEED-word k-mers, leftmost first, so equal edges share it, and neighbouring
    edges mostly do too. One record per minimizer occurrence carries all its edges; 64 bits of
-   the minimizer and 64 bits of each edge tell them apart, made of 128-bit BLAKE2b digests of
-   the words. A bucket joins the records of its minimizers and finds the repeated edges.
+   the minimizer and 64 bits of each edge tell them apart, made of two keyed SipHashes of each
+   word. A bucket joins the records of its minimizers and finds the repeated edges.
 2. Repeated edges join their documents. Neighbours whose sources are neighbours too compact to
    nonbranching paths, and each path takes the SHA-256 of its words.
 3. Paths join the documents of their sources: the words at the source coordinates must have the
@@ -35,13 +35,14 @@ empty result; further columns are dropped by ``spans`` and ``kept`` and stay as
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from hashlib import blake2b, sha256
+from hashlib import sha256
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pandas.util import hash_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,12 +59,11 @@ FLUSH = 800_000
 BYTES = 1_000_000
 SEND = 8_000_000
 #: Bytes of text for each bucket of records and each part of documents.
-BUCKET_BYTES, PART_BYTES = 1_250_000, 5_000_000
+BUCKET_BYTES, PART_BYTES = 3_000_000, 12_000_000
 #: One in so many documents tells heavy minimizers; a heavy one has so many records there at
 #: least. No more than HEAVY a bucket, and MOST_HEAVY in all, are told, the heaviest first.
 TELLS, LEAST, HEAVY, MOST_HEAVY = 16, 50, 8, 500_000
-#: Words of which a worker keeps the digest; beyond it the memo starts anew.
-MEMO = 300_000
+KEYS = ("first key, fixed", "another, as long")
 _NULL = -(1 << 63)
 _U = np.uint64
 _STEP, _STEP2 = 0xD6E8FEB86659FD93, 0xE7037ED1A0B428DB
@@ -72,6 +72,7 @@ _SALT = _U(0x9E3779B97F4A7C15)
 PATH = ("doc", "row", "start", "n", "sdoc", "srow", "sstart")
 ASKED = ("sdoc", "srow", "sstart", "n", "digest")
 Render = Callable[[list[bytes], list[bytes]], tuple]
+Digests = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def _powers(base: int, n: int, memo: dict = {}) -> np.ndarray:  # noqa: B006  a cache per process
@@ -99,38 +100,24 @@ def _ranges(values: np.ndarray, lo: np.ndarray, size: int, base: int) -> np.ndar
     return _mix((sums[lo + size] - sums[lo]) * _powers(inverse, n)[lo])
 
 
-def digest(word: bytes) -> bytes:
-    return blake2b(word, digest_size=16).digest()
+def digests(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two keyed 64-bit SipHashes of each of ``words`` (byte strings)."""
+    return tuple(hash_array(words, hash_key=k, categorize=False) for k in KEYS)
 
 
-class _Memo(dict):
-    """Digests by word, of bounded size."""
-
-    def __init__(self, make: Callable[[bytes], bytes]):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        d = self[word] = self.make(word)
-        return d
-
-
-def word_hashes(texts: list[bytes], memo: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Both halves of the digest of each word of all texts in order, and the number of words of
-    each text."""
+def word_hashes(texts: list[bytes], make: Digests) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both hashes of each word of all texts in order, and the number of words of each text."""
     cut = [t.split() for t in texts]
     n = np.array([len(c) for c in cut], np.int64)
-    raw = b"".join(map(memo.__getitem__, chain.from_iterable(cut)))
-    both = np.frombuffer(raw, "<u8").reshape(-1, 2)
-    return both[:, 0].copy(), both[:, 1].copy(), n
+    words = np.empty(int(n.sum()), object)
+    words[:] = list(chain.from_iterable(cut))
+    return *make(words), n
 
 
-def edges(texts: list[bytes], memo: dict | None = None) -> tuple[np.ndarray, ...]:
+def edges(texts: list[bytes], make: Digests) -> tuple[np.ndarray, ...]:
     """Of every edge of all texts in order: index of its text, start, hash, second hash, hash of
     its minimizer and the minimizer's offset in it."""
-    h, h2, n = word_hashes(texts, _Memo(digest) if memo is None else memo)
+    h, h2, n = word_hashes(texts, make)
     first = np.cumsum(n) - n
     count = np.maximum(n - WINDOW + 1, 0)
     of = np.repeat(np.arange(len(texts)), count)
@@ -186,7 +173,8 @@ def _differ(*cols: np.ndarray) -> np.ndarray:
 def _paths(doc, row, pos, sdoc, srow, spos) -> list[np.ndarray]:
     """Repeated edges in any order compacted to PATH columns, in order of (doc, row, start): runs
     of neighbouring edges of which the sources are neighbours too. Of an edge told twice, as by
-    equal rows, the least source counts; an edge is no repeat of itself."""
+    equal rows, the least source counts; an edge is no repeat of itself. One that occurs several
+    times in its document repeats the occurrence before, so a loop of words is one path."""
     other = (doc != sdoc) | (row != srow) | (pos != spos)
     cols = [x[other] for x in (doc, row, pos, sdoc, srow, spos)]
     order = np.lexsort(tuple(reversed(cols)))
@@ -194,6 +182,10 @@ def _paths(doc, row, pos, sdoc, srow, spos) -> list[np.ndarray]:
     if len(order):
         once = np.append(True, _differ(*cols[:3]))
         cols = [x[once] for x in cols]
+        by = np.lexsort((cols[2], cols[5], cols[4], cols[3], cols[1], cols[0]))
+        more = np.flatnonzero(~_differ(*[x[by] for x in (*cols[:2], *cols[3:])]))
+        own, before = by[more + 1], by[more]
+        cols[3][own], cols[4][own], cols[5][own] = cols[0][own], cols[1][own], cols[2][before]
     doc, row, pos, sdoc, srow, spos = cols
     new = np.append(True, _differ(doc, row, sdoc, srow, spos - pos) | (np.diff(pos) != 1))[: len(doc)]
     at = np.flatnonzero(new)
@@ -219,6 +211,20 @@ def _dealt(paths: list[np.ndarray], parts: int) -> Iterator[tuple[int, bytes]]:
         yield int(part[a]), _pack([x[a:b] for x in cols])
 
 
+def _again(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where elements stand that are equal to an earlier one in both columns, and the first such."""
+    key = a ^ _mix(b.astype(np.uint64) + _SALT)
+    by = np.argsort(key)
+    head = np.append(True, _differ(key[by]))
+    if (~head[1:] & _differ(a[by], b[by])).any():  # equal keys of different pairs
+        by = np.lexsort((b, a))
+        head = np.append(True, _differ(a[by], b[by]))
+    at = np.flatnonzero(head)
+    lead = np.repeat(np.minimum.reduceat(by, at), np.diff(np.append(at, len(by))))
+    more = by != lead
+    return by[more], lead[more]
+
+
 def _anchors(of, pos, least, offset) -> np.ndarray:
     """Where a new occurrence of a minimizer begins among edges in order of (text, start)."""
     return np.append(True, _differ(of, pos + offset, least))
@@ -242,15 +248,14 @@ def _records(
         take = np.flatnonzero(~again[of])
         take = take[np.lexsort((pos[take], of[take]))]
         of, pos, whole, check, least, offset = (x[take] for x in (of, pos, whole, check, least, offset))
-    by = np.lexsort((check, whole))
-    head = np.append(True, _differ(whole[by], check[by]))
-    lead = by[np.flatnonzero(head)[np.cumsum(head) - 1]]
-    more, src = by[~head], lead[~head]
+    more, src = _again(whole, check)
     if len(more):
         paths = _paths(doc[of[more]], row[of[more]], pos[more], doc[of[src]], row[of[src]], pos[src])
         for p, blob in _dealt(paths, parts):
             yield p % buckets, p, blob
-    keep = np.sort(by[head])
+    first = np.ones(len(of), bool)
+    first[more] = False
+    keep = np.flatnonzero(first)
     of, pos, whole, check, least, offset = (x[keep] for x in (of, pos, whole, check, least, offset))
     if len(heavy):
         hot = heavy[np.minimum(np.searchsorted(heavy, least), len(heavy) - 1)] == least
@@ -302,13 +307,8 @@ def _found(blobs: list[bytes], parts: int) -> Iterator[tuple[int, bytes]]:
     nth = np.arange(len(rec)) - np.repeat(np.cumsum(n_edges[keep]) - n_edges[keep], n_edges[keep])
     value = check[first[keep][rec] + nth]
     pos = anchor[keep][rec] - (SPAN - 1) + bit
-    # A stable sort leaves the edges of a place and value in their order.
     dense = np.unique(group[keep], return_inverse=True)[1]
-    place = (dense[rec] << 4) | bit
-    by = np.lexsort((value, place))
-    head = np.append(True, _differ(place[by], value[by]))
-    lead = by[np.flatnonzero(head)[np.cumsum(head) - 1]]
-    again, src = by[~head], lead[~head]
+    again, src = _again(value, (dense[rec] << 4) | bit)
     if len(again):
         doc, row = doc[keep], row[keep]
         yield from _dealt(_paths(doc[rec[again]], row[rec[again]], pos[again], doc[rec[src]], row[rec[src]], pos[src]), parts)
@@ -357,10 +357,11 @@ def _numbers(t: pa.Table, *names: str) -> list[np.ndarray]:
 def _heavy(slim: DataFrame, most: int) -> np.ndarray:
     """The heavy minimizers, sorted: ``most`` at most."""
 
+    make = digests
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Memo(digest)
         for batch in slices(batches, 1000):
-            of, start, _, _, least, offset = edges(_bytes(batch.column("text")), memo)
+            of, start, _, _, least, offset = edges(_bytes(batch.column("text")), make)
             if not len(of):
                 continue
             seeds, n = np.unique(least[_anchors(of, start, least, offset)], return_counts=True)
@@ -420,12 +421,11 @@ class _Corpus:
 
     def repeats(self) -> DataFrame:
         """part and blob: repeated edges, as far as one bucket can compact them."""
-        buckets, parts = self.buckets, self.parts
+        buckets, parts, make = self.buckets, self.parts, digests
         slim = self.keyed.select("doc", "row", "text")
         told = slim.sparkSession.sparkContext.broadcast(_heavy(slim, min(MOST_HEAVY, HEAVY * buckets)))
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            memo = _Memo(digest)
             held: list[tuple[np.ndarray, ...]] = []
             ids: list[tuple[np.ndarray, np.ndarray]] = []
             n = n_texts = 0
@@ -446,7 +446,7 @@ class _Corpus:
                     while b < len(texts) and size < BYTES:
                         size += len(texts[b])
                         b += 1
-                    of, *rest = edges(texts[a:b], memo)
+                    of, *rest = edges(texts[a:b], make)
                     if len(of):
                         held.append((of + n_texts, *rest))
                         ids.append((doc[a:b], row[a:b]))
