@@ -6,7 +6,7 @@ occurs again is a repeat of its first occurrence, the one of least (doc_id, star
 1. Edges are dealt as graph compaction does it: by minimizer. An edge's minimizer is the least
    hash among its SEED-word k-mers, leftmost first, so equal edges share it, and neighbouring
    edges mostly do too. One record per minimizer occurrence carries all its edges; 64 bits of
-   the minimizer and 64 bits of each edge tell them apart, made of two keyed SipHashes of each
+   the minimizer and 48 bits of each edge tell them apart, made of two keyed SipHashes of each
    word. A bucket joins the records of its minimizers and finds the repeated edges.
 2. Repeated edges join their documents. Neighbours whose sources are neighbours too compact to
    nonbranching paths, and each path takes the SHA-256 of its words.
@@ -63,6 +63,8 @@ BUCKET_BYTES, PART_BYTES = 3_000_000, 12_000_000
 #: One in so many documents tells heavy minimizers; a heavy one has so many records there at
 #: least. No more than HEAVY a bucket, and MOST_HEAVY in all, are told, the heaviest first.
 TELLS, LEAST, HEAVY, MOST_HEAVY = 16, 50, 8, 500_000
+#: Sixteens of bits by which a bucket tells edges of one minimizer; the words decide.
+CHECK = 3
 KEYS = ("first key, fixed", "another, as long")
 _NULL = -(1 << 63)
 _U = np.uint64
@@ -264,12 +266,13 @@ def _records(
     bits = np.left_shift(1, SPAN - 1 - offset.astype(np.int64))
     mask = np.add.reduceat(bits, at).astype("<u2")
     seed, r_of, r_anchor = least[at], of[at], (pos + offset)[at]
-    bucket = (((seed >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.int64)
+    # A minimizer is a least hash, so small numbers are common: buckets need another hash.
+    bucket = (_mix(seed ^ _SALT) % _U(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     n_edges = np.diff(np.append(at, len(of)))
     # Edges of the records in their new order.
     take = np.repeat(at[order] - (np.cumsum(n_edges[order]) - n_edges[order]), n_edges[order]) + np.arange(len(of))
-    check = check[take].astype("<u8")
+    check = np.ascontiguousarray(check[take].astype("<u8").view("<u2").reshape(-1, 4)[:, :CHECK])
     ends = np.cumsum(n_edges[order])
     bucket = bucket[order]
     for a, b in _cuts(bucket):
@@ -288,7 +291,9 @@ def _found(blobs: list[bytes], parts: int) -> Iterator[tuple[int, bytes]]:
         cols.append(arrays)
         n = len(arrays[0])
         seeds.append(np.frombuffer(raw, "<u8", n))
-        checks.append(np.frombuffer(raw, "<u8", -1, 8 * n))
+        wide = np.zeros(((len(raw) - 8 * n) // (2 * CHECK), 4), "<u2")
+        wide[:, :CHECK] = np.frombuffer(raw, "<u2", -1, 8 * n).reshape(-1, CHECK)
+        checks.append(wide.view("<u8").ravel())
     doc, row, anchor, mask = map(np.concatenate, zip(*cols, strict=True))
     seed, check = np.concatenate(seeds), np.concatenate(checks)
     del cols, seeds, checks
