@@ -21,8 +21,8 @@ shared folder, until nothing changes. Nothing is collected but two numbers a rou
 Defined cases: a null or empty text has the fingerprint zero and is linked like any other; a
 text of fewer than three words is one shingle; rows that repeat are one entry; rows that share
 a doc_id are separate but have equal ids, and a null doc_id is never chosen as component id
-unless all are null; an empty table gives an empty result; further columns are dropped by
-``components`` and kept by ``keep_first``, but for the name __key.
+unless all are null; a very long text is votes like any other; an empty table gives an empty
+result; further columns are dropped.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnsift.llm.common import shared_dir, stage
@@ -42,9 +42,12 @@ SHINGLE = 3
 #: Fingerprints that a task should hold; beyond CROWD a group is salted.
 GROUP = 2_000
 CROWD = 40_000
-#: Pairs of nodes expanded at a time, and pairs of leaves compared outright.
+#: Pairs of nodes expanded at a time, pairs of leaves compared outright, and at a time.
 CHUNK = 100_000
 SMALL = 64
+PAIRS = 400_000
+#: Crowded groups that are broadcast at most; a longer list is joined.
+LISTED = 100_000
 
 
 def shingle_hashes(words: str, k: int = SHINGLE) -> Column:
@@ -69,17 +72,14 @@ def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
     return vote(hashed, ["__row", *keys], "__h", weighted=False).select(*keys, "fingerprint")
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
-
-
-class _Joined:
+class Joined:
     """Union-find over positions, with roots known for all after ``settle``."""
 
     def __init__(self, n: int):
         self.parent = list(range(n))
         self.root = np.arange(n)
         self.changes = np.arange(n)
+        self.links: list[tuple[int, int]] = []
 
     def find(self, i: int) -> int:
         p = self.parent
@@ -89,15 +89,19 @@ class _Joined:
         return i
 
     def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Join each a and b; ``links`` keeps those that joined two components."""
         ra, rb = self.root[a], self.root[b]
         lo, hi = np.minimum(ra, rb), np.maximum(ra, rb)
         far = lo != hi
         if not far.any():
             return
-        for code in np.unique(lo[far] * len(self.root) + hi[far]).tolist():
+        a, b = a[far], b[far]
+        codes, at = np.unique(lo[far] * len(self.root) + hi[far], return_index=True)
+        for code, k in zip(codes.tolist(), at.tolist(), strict=True):
             i, j = self.find(code // len(self.root)), self.find(code % len(self.root))
             if i != j:
                 self.parent[max(i, j)] = min(i, j)
+                self.links.append((int(a[k]), int(b[k])))
         p = np.array(self.parent)
         while True:
             q = p[p]
@@ -113,36 +117,49 @@ class _Joined:
         return (c[lo1] == c[hi1 - 1]) & (c[lo2] == c[hi2 - 1]) & (r[lo1] == r[lo2])
 
 
-def trie_links(values: np.ndarray, front: int, radius: int = RADIUS, cut: int = 0) -> np.ndarray:
-    """Roots of the components of sorted distinct ``values`` (uint64) under links of at most
-    ``front`` differing bits in the upper 32 and ``radius`` in all; with ``cut``, only links
-    between the values before it and those from it on."""
-    n = len(values)
-    joined = _Joined(n)
-    high = np.uint64(0xFFFFFFFF00000000)
-    zero = np.array([0])
+def _few(at: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Positions ``at`` in runs of about PAIRS in ``size``."""
+    if not len(at):
+        return []
+    run = (np.cumsum(size[at]) - 1) // PAIRS
+    return np.split(at, np.flatnonzero(np.diff(run)) + 1)
+
+
+def trie_pairs(
+    values: np.ndarray, radius: int, joined: Joined, front: int | None = None, depth: int = 0, cut: int = 0
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions that join sorted distinct ``values`` (rows of uint64, first bit highest)
+    within ``radius`` differing bits into trees, beyond what ``joined`` has joined before. All
+    values agree in the first ``depth`` bits or differ only across ``cut``; with ``front`` no more
+    bits than that differ in the first 32; with ``cut`` pairs are between the values before it
+    and those from it on."""
+    n, bits = len(values), 64 * values.shape[1]
+    front = radius if front is None else front
+    zero, had = np.array([0]), len(joined.links)
     # (depth, ranges of the two nodes, differing bits)
-    stack = [(0, zero, zero + (cut or n), zero + cut, zero + n, zero)] if n > 1 and cut < n else []
+    stack = [(depth, zero, zero + (cut or n), zero + cut, zero + n, zero)] if n > 1 and cut < n else []
     while stack:
         depth, a0, a1, b0, b1, d = stack.pop()
         live = ~joined.same(a0, a1, b0, b1)
         a0, a1, b0, b1, d = (x[live] for x in (a0, a1, b0, b1, d))
-        small = ((a1 - a0) * (b1 - b0) <= SMALL) | (depth == 64)
-        if small.any():
-            na, nb = (a1 - a0)[small], (b1 - b0)[small]
+        small = ((a1 - a0) * (b1 - b0) <= SMALL) | (depth == bits)
+        for part in _few(np.flatnonzero(small), (a1 - a0) * (b1 - b0)):
+            na, nb = (a1 - a0)[part], (b1 - b0)[part]
             size = na * nb
             which = np.repeat(np.arange(len(size)), size)
             k = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
-            i, j = a0[small][which] + k // nb[which], b0[small][which] + k % nb[which]
+            i, j = a0[part][which] + k // nb[which], b0[part][which] + k % nb[which]
             x = values[i] ^ values[j]
-            ok = (i != j) & (_popcount(x) <= radius) & (_popcount(x & high) <= front)
+            ok = (i != j) & (np.bitwise_count(x).sum(1) <= radius)
+            if front < radius:
+                ok &= np.bitwise_count(x[:, 0] >> np.uint64(32)) <= front
             joined.join(i[ok], j[ok])
         a0, a1, b0, b1, d = (x[~small] for x in (a0, a1, b0, b1, d))
         if not len(d):
             continue
         # Where the next bit turns to one in each node.
-        bit = np.uint64(63 - depth)
-        ones = np.concatenate([[0], np.cumsum((values >> bit) & np.uint64(1))]).astype(np.int64)
+        bit = (values[:, depth // 64] >> np.uint64(63 - depth % 64)) & np.uint64(1)
+        ones = np.concatenate([[0], np.cumsum(bit)]).astype(np.int64)
         am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])
         budget = front if depth < 32 else radius
         own = (a0 == b0) & (a1 == b1)
@@ -158,6 +175,15 @@ def trie_links(values: np.ndarray, front: int, radius: int = RADIUS, cut: int =
         nxt = [np.concatenate(c) for c in cols]
         for s in range(0, len(nxt[0]), CHUNK):
             stack.append((depth + 1, *(x[s : s + CHUNK] for x in nxt)))
+    new = np.array(joined.links[had:], np.int64).reshape(-1, 2)
+    return new[:, 0], new[:, 1]
+
+
+def trie_links(values: np.ndarray, front: int, radius: int = RADIUS, cut: int = 0) -> np.ndarray:
+    """Roots of the components of sorted distinct ``values`` (uint64) under links of at most
+    ``front`` differing bits in the upper 32 and ``radius`` in all, as ``trie_pairs`` finds them."""
+    joined = Joined(len(values))
+    trie_pairs(values[:, None], radius, joined, front, cut=cut)
     return joined.root
 
 
@@ -165,6 +191,20 @@ def _turn(x: np.ndarray) -> np.ndarray:
     return (x << np.uint64(32)) | (x >> np.uint64(32))
 
 
+def salted(rows: DataFrame, crowd: int) -> DataFrame:
+    """``rows`` (grp, v) as grp, s, t, v: groups of more than ``crowd`` rows are dealt into blocks
+    by hash, and every pair of blocks (s, t) is a group; others are (0, 0)."""
+    crowds = rows.groupBy("grp").count().where(F.col("count") > crowd)
+    crowds = crowds.select("grp", F.ceil(F.col("count") / crowd).cast("int").alias("salts"))
+    few = crowds.limit(LISTED + 1).count() <= LISTED
+    rows = rows.join(F.broadcast(crowds) if few else crowds, "grp", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    salt = F.pmod(F.xxhash64("v"), F.col("salts")).cast("int")
+    rows = rows.withColumn("salt", salt).select(
+        "grp", "v", "salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("with")
+    )
+    return rows.select("grp", F.least("salt", "with").alias("s"), F.greatest("salt", "with").alias("t"), "v")
+
+
 def links(entries: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) between distinct fingerprints that join all within ``radius`` bits.
 
@@ -186,15 +226,7 @@ def links(entries: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
     pair = F.least(own, other) * (1 << bits) + F.greatest(own, other)
     rows = rows.withColumn("flip", F.explode(F.array(*[F.lit(m).cast("long") for m in flips])))
     rows = rows.select(((pair * 2) + F.col("trie")).alias("grp"), "v")
-    # Crowded groups: at most one row per CROWD rows of the join's input.
-    crowds = rows.groupBy("grp").count().where(F.col("count") > CROWD)
-    crowds = crowds.select("grp", F.ceil(F.col("count") / CROWD).cast("int").alias("salts"))
-    rows = rows.join(F.broadcast(crowds), "grp", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-    salt = F.pmod(F.xxhash64("v"), F.col("salts")).cast("int")
-    rows = rows.withColumn("salt", salt).select(
-        "grp", "v", "salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("with")
-    )
-    rows = rows.select("grp", F.least("salt", "with").alias("s"), F.greatest("salt", "with").alias("t"), "v")
+    rows = salted(rows, CROWD)
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         v = np.unique(df["v"].to_numpy().view(np.uint64))
@@ -262,23 +294,5 @@ def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return fps.join(found, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id, null last. Rows are
-    told apart by doc_id and text, so rows of different components stay whatever their ids; of
-    equal rows one stays."""
-    base = shared_dir(docs.sparkSession)
-    parts = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit(""))]
-    keyed = docs.withColumn("__key", F.sha2(F.concat(*parts), 256))
-    fps = stage(fingerprints(keyed, "__key"), f"{base}/fingerprints")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col("__key").alias("key"))
-    rooted = _rooted(fps, base, radius, F.min(place).alias("first"))
-    heads = rooted.groupBy("root").agg(F.min("first").alias("head")).select("root", F.col("head.key").alias("head"))
-    found = fps.join(rooted.join(heads, "root").select("fingerprint", "head"), "fingerprint")
-    gone = found.where("__key <> head").select("__key").distinct()
-    kept = keyed.join(stage(gone, f"{base}/gone"), "__key", "left_anti")
-    order = Window.partitionBy("__key").orderBy(F.col("text").asc_nulls_last())
-    return kept.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*docs.columns)
-
-
 def op10(docs: DataFrame) -> DataFrame:
     return classes(docs).select("doc_id", as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")

@@ -68,17 +68,6 @@ def test_a_long_chain_is_one_component(spark, tmp_path):
     assert {r.root for r in trie_dedup.components(edges, f"file://{tmp_path}/c").collect()} == {0}
 
 
-def test_keep_first(spark):
-    df = docs(spark).selectExpr("*", "1 AS component_id", "2 AS `odd name`")
-    out = trie_dedup.keep_first(df)
-    assert out.columns == df.columns
-    left = {r.doc_id for r in out.collect()}
-    comp = {r.doc_id: r.component_id for r in trie_dedup.op10(docs(spark)).collect()}
-    assert left == {i for i, c in comp.items() if i == c}
-    same = [(1, "a b c d", "", "", 1)] * 2 + [(None, "q r s t", "", "", 1)]
-    assert sorted(str(r.doc_id) for r in trie_dedup.keep_first(docs(spark, same)).collect()) == ["1", "None"]
-
-
 def test_op4(spark):
     rows = awkward()
     got = {r.doc_id: r for r in simhash.op4(docs(spark)).collect()}

@@ -12,7 +12,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tarnsift.llm import quality_rules, toxicity
 from tests.llm.cases import awkward, prose, words
-from tests.llm.test_dedup import fingerprint, roots
+from tests.llm.test_dedup import roots
+from tests.llm.test_near_dedup import jaccard, shingle_set
 from tests.llm.test_tokens import check_packed
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -99,7 +100,7 @@ def test_toxicity(spark, folder, stages):
 def test_near_dedup(stages):
     docs, got = stages["simhash_near_dedup"]
     rows = rows_of(docs)
-    root = roots([fingerprint(r[1]) for r in rows], lambda a, b: (a ^ b).bit_count() <= 3)
+    root = roots([shingle_set(r[1]) for r in rows], lambda a, b: jaccard(a, b) >= 0.8)
     assert rows_of(got) == [r for k, r in enumerate(rows) if root[k] == k] and got.count() < len(rows)
 
 

@@ -3,7 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
-from tarnsift.llm import toxicity, trie_dedup
+from tarnsift.llm import near_dedup, toxicity
 from tests.llm.cases import prose
 
 
@@ -11,7 +11,7 @@ def test_near_dedup_keeps_different_texts_of_null_or_shared_ids(spark):
     a, b, c, d = (prose(50 + k, 60) for k in range(4))
     rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (2, d), (None, c)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = sorted(map(tuple, trie_dedup.keep_first(df).collect()), key=str)
+    got = sorted(map(tuple, near_dedup.keep_first(df).collect()), key=str)
     assert got == sorted([(None, a), (None, b), (1, c), (1, d)], key=str)
 
 
