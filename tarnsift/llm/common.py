@@ -20,11 +20,20 @@ BLANK_RUN = r"[\x20\x09-\x0D]+"
 BATCH = 1000
 
 
+_own_folder: list[str] = []
+
+
+def _at(spark: SparkSession, path: str):
+    """Hadoop's file system and path of ``path``."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the one that driver and executors share.
+    """A new folder under the one that driver and executors share; it goes when the driver ends.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in tests
-    on one machine, a temporary folder is made and set.
+    A cluster names the shared one in ``spark.checkpoint.dir``. Only where that is unset, as in
+    tests on one machine, a temporary folder is made; the session's settings stay as they are.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -32,11 +41,22 @@ def shared_dir(spark: SparkSession) -> str:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = jdir.get() if jdir.isDefined() else None
     if not base:
-        folder = tempfile.mkdtemp(prefix="tarnsift-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        base = f"file://{folder}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tarnsift-{uuid.uuid4().hex}"
+        if not _own_folder:
+            _own_folder.append(tempfile.mkdtemp(prefix="tarnsift-"))
+            atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
+        base = f"file://{_own_folder[0]}"
+    path = f"{base.rstrip('/')}/tarnsift-{uuid.uuid4().hex}"
+    fs, p = _at(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that nothing reads any more."""
+    for path in paths:
+        fs, p = _at(spark, path)
+        fs.delete(p, True)
 
 
 def stage(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
@@ -95,28 +115,35 @@ def labelled(labels: DataFrame, label: str) -> DataFrame:
 def sample_texts(
     docs: DataFrame, ids: DataFrame, most: dict[int, int], max_chars: int
 ) -> list[tuple[str, int]]:
-    """Whole texts of a bounded sample of ``ids`` (doc_id, y), lowest hash of doc_id first.
+    """Whole texts of a bounded sample of ``ids`` (doc_id, y), lowest hash of doc_id first, in
+    one pass over the texts.
 
-    At most ``most[y]`` documents of class ``y``, and of each class only as many as stay
-    within its share of ``max_chars`` characters. Both bounds are parameters, so what
-    reaches the driver doesn't grow with the corpus.
+    At most ``most[y]`` rows of class ``y``, and of each class only as many as stay within its
+    share of ``max_chars`` characters. Both bounds are parameters and count rows, not doc_ids, so
+    what reaches the driver doesn't grow with the corpus or with a popular doc_id; rows of one
+    doc_id and text count once.
     """
+    spark, base = docs.sparkSession, shared_dir(docs.sparkSession)
     picked = None
     for y, n in most.items():
         part = ids.where(F.col("y") == y).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(n)
         picked = part if picked is None else picked.unionByName(part)
-    # sum(most) rows of three numbers: a proven bound.
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    sized = rows.select("doc_id", "h", "y", F.length("text").alias("n")).collect()
-    keep: list[int] = []
-    for y in most:
+    text = F.coalesce("text", F.lit(""))
+    # ``picked`` has sum(most) rows of three numbers at most.
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = stage(rows.select("doc_id", "y", "h", "text", F.xxhash64("text").alias("t"), F.length("text").alias("n")), f"{base}/sample")
+    keep: list[tuple[int, int]] = []
+    for y, n in most.items():
         left = max_chars // len(most)
-        for r in sorted((r for r in sized if r.y == y), key=lambda r: (r.h, r.doc_id)):
-            if (r.n or 0) <= left:
-                left -= r.n or 0
-                keep.append(r.doc_id)
-    if not keep:
-        return []
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in keep], "doc_id long").distinct()
-    got = rows.join(F.broadcast(wanted), "doc_id", "left_semi").select("doc_id", "y", "text").collect()
-    return [(r.text or "", r.y) for r in sorted(got, key=lambda r: (r.doc_id, r.text or ""))]
+        keys = rows.where(F.col("y") == y).select("h", "doc_id", "t", "n").distinct()
+        for r in keys.orderBy("h", "doc_id", "t").limit(n).collect():
+            if r.n <= left:
+                left -= r.n
+                keep.append((r.doc_id, r.t))
+    got = []
+    if keep:
+        wanted = spark.createDataFrame(sorted(set(keep)), "doc_id long, t long")
+        one = rows.join(F.broadcast(wanted), ["doc_id", "t"], "left_semi").groupBy("doc_id", "t", "y").agg(F.first("text").alias("text"))
+        got = [(r.text, r.y) for r in sorted(one.collect(), key=lambda r: (r.doc_id, r.text))]
+    drop(spark, base)
+    return got

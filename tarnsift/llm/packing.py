@@ -10,9 +10,13 @@ more than half full can only take one in. Of the bins of one fill above one half
 thus use no more than FAN; any others are final. A node sends up at most FAN * LENGTH / 2 + 1
 rows, whatever its leaves held.
 
-Defined cases: a null text counts as empty and packs as its end id alone; rows that repeat are
-packed each by itself; an empty table gives an empty result; further columns are dropped by
-``pieces`` and pass through ``pack``, except that columns named like its own are replaced.
+Where a round's bins went is followed from the root down by joins of small tables of merges.
+
+Defined cases: a null text counts as empty and packs as its end id alone; rows that repeat, or
+share a null or other doc_id, are packed each by itself; a very long text is cut into pieces in
+its task; items of equal length pack in any order; an empty table gives an empty result; further
+columns are dropped by ``pieces`` and pass through ``pack`` whatever their names, except that
+sequence_id and offset are replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnsift.llm.common import shared_dir, slices, small_batches, stage, trim
+from tarnsift.llm.common import drop, shared_dir, slices, small_batches, stage, trim
 from tarnsift.llm.tokens import coder, u32
 
 LENGTH = 1024
@@ -37,6 +41,8 @@ END = 2
 LEAF = 32_768
 FAN = 8
 SLACK = 4
+#: Merges that are broadcast at most; a longer list is joined.
+LISTED = 500_000
 
 
 def best_fit(sizes: list[int], room: int) -> tuple[list[int], list[int], list[int]]:
@@ -113,7 +119,7 @@ def pieces(docs: DataFrame, path: str, end: int = END, length: int = LENGTH) ->
     )
 
 
-def _leaves(items: DataFrame, leaves: int, length: int) -> DataFrame:
+def _leaves(items: DataFrame, leaves: int, length: int, size_of: str) -> DataFrame:
     """``items`` with __bin, __offset and, on the first of a bin that goes up, __fill."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +127,7 @@ def _leaves(items: DataFrame, leaves: int, length: int) -> DataFrame:
         if not got:
             return
         t = pa.Table.from_batches(got)
-        size = t.column("length").to_numpy()
+        size = t.column(size_of).to_numpy()
         order = np.argsort(-size, kind="stable")
         where, offset, fill = best_fit(size[order].tolist(), length)
         leaf = TaskContext.get().partitionId()
@@ -165,9 +171,13 @@ def pack(items: DataFrame, length: int = LENGTH, leaf: int = LEAF) -> DataFrame:
     spark = items.sparkSession
     base = shared_dir(spark)
     items = items.drop("sequence_id", "offset")
-    items = stage(items, f"{base}/items")
+    # Columns by place, so that none clashes with the operator's own.
+    names = items.columns
+    kept = [f"c{k}" for k in range(len(names))]
+    items = stage(items.toDF(*kept), f"{base}/items")
     leaves = max(1, -(-items.count() // leaf))
-    packed = stage(_leaves(items, leaves, length), f"{base}/leaves")
+    packed = stage(_leaves(items, leaves, length, f"c{names.index('length')}"), f"{base}/leaves")
+    drop(spark, f"{base}/items")
     bins = packed.where("__fill > 0").select(F.col("__bin").alias("bin"), F.col("__fill").alias("fill"))
     rounds: list[DataFrame] = []
     level, nodes = 0, leaves
@@ -175,19 +185,20 @@ def pack(items: DataFrame, length: int = LENGTH, leaf: int = LEAF) -> DataFrame:
         level, nodes = level + 1, -(-nodes // FAN)
         rounds.append(stage(_round(bins, level, length), f"{base}/round{level}"))
         bins = rounds[-1].where("target is null").select("bin", "fill")
-    # At most FAN merges a parent, so fewer than two for each leaf of LEAF items.
-    place: dict[int, tuple[int, int]] = {}
-    for done in reversed(rounds):
-        for r in done.where("target is not null").select("bin", "target", "shift").collect():
-            target, more = place.get(r.target, (r.target, 0))
-            place[r.bin] = (target, more + r["shift"])
-    kept = [f"`{c}`" for c in items.columns]
-    if not place:
-        return packed.selectExpr(*kept, "__bin AS sequence_id", "__offset AS offset")
-    moved = spark.createDataFrame([(b, t, s) for b, (t, s) in place.items()], "__bin long, __target long, __shift long")
-    return packed.join(F.broadcast(moved), "__bin", "left").selectExpr(
+    # From the root down: where a bin's target went in later rounds, the bin went with it.
+    moved = spark.createDataFrame([], "bin long, target long, shift long")
+    for level in range(len(rounds), 0, -1):
+        here = rounds[level - 1].where("target is not null").select("bin", "target", "shift")
+        later = moved.toDF("target", "last", "more")
+        went = here.join(later, "target", "left").selectExpr("bin", "coalesce(last, target) AS target", "shift + coalesce(more, 0L) AS shift")
+        moved = stage(moved.unionByName(went), f"{base}/moved{level}")
+    few = moved.limit(LISTED + 1).count() <= LISTED
+    moved = moved.toDF("__bin", "__target", "__shift")
+    done = packed.join(F.broadcast(moved) if few else moved, "__bin", "left").selectExpr(
         *kept, "coalesce(__target, __bin) AS sequence_id", "__offset + coalesce(__shift, 0L) AS offset"
     )
+    drop(spark, *[f"{base}/round{k + 1}" for k in range(len(rounds))], *[f"{base}/moved{k + 1}" for k in range(1, len(rounds))])
+    return done.toDF(*names, "sequence_id", "offset")
 
 
 def op6(docs: DataFrame, path: str) -> DataFrame:

@@ -8,16 +8,16 @@ non-negative unbiased risk
 
     prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)])
 
-with the logistic loss, whose minimiser gives the probability of being good. Where few rows
-leave trusted positives in doubt, the bias is raised (by RAISE at most) until all but MISSED of
-them score SURE, the only calibration that positives alone allow.
+with the logistic loss, whose minimiser gives the probability of being good: that is the score.
 
 Features are shares of symbols, capitals, repeats, lines and function words, cut at fixed
-bounds. Training takes a bounded sample (MAX_DOCS, MAX_CHARS: parameters) to the driver;
-scoring is one map stage with fewer than a hundred weights broadcast, no shuffle.
+bounds. Training takes a bounded sample of positives and of unlabelled rows to the driver
+(MAX_DOCS of each, MAX_CHARS in all: parameters); scoring is one map stage over all rows with
+fewer than a hundred weights broadcast, no shuffle.
 
 Defined cases: a null text counts as empty, and empty texts get the features of no words;
-repeated rows score alike; without trusted positives every score is 0.5; an empty table gives
+repeated rows score alike, a null doc_id scores like any other and is never trained on, a very
+long text is one row; without trusted positives every score is 0.5; an empty table gives
 an empty result; further columns pass through ``score``, except that one named score is
 replaced.
 """
@@ -40,7 +40,6 @@ from tarnsift.llm.quality_rules import STOP_WORDS
 MAX_DOCS = 4000
 MAX_CHARS = 20_000_000
 THRESHOLD = 0.7
-MISSED, SURE, RAISE = 0.02, 0.75, 3.0
 
 _SYMBOLS = str.maketrans("", "", "#*$%&<>|@^~\\=+_{}[]")
 _DIGITS = str.maketrans("", "", "0123456789")
@@ -165,21 +164,20 @@ def fit(pos: list[str], unl: list[str], steps: int = 400, rate: float = 0.05, l2
         return (g_pos + g_rest if rest >= 0 else -g_rest) + l2 * np.append(w[:-1], 0)
 
     w = _adam(grad, p.shape[1], steps, rate)
-    lowest = float(np.quantile(p @ w, MISSED))
-    raised = float(np.clip(np.log(SURE / (1 - SURE)) - lowest, 0, RAISE))
-    return Model(w[:-1], float(w[-1]) + raised, prior)
+    return Model(w[:-1], float(w[-1]), prior)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> Model:
     """Positives: labelled good outside the held-out fold. Unlabelled: documents without any
     label; where there are none, all labelled documents outside the fold, label unseen."""
     known = labelled(labels, label)
-    pos = sample_texts(docs, known, {1: max_docs}, max_chars // 2)
     free = docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
     free = free.join(labels.select("doc_id"), "doc_id", "left_anti").withColumn("y", F.lit(0))
-    unl = sample_texts(docs, free, {0: max_docs}, max_chars // 2)
-    unl = unl or sample_texts(docs, known.withColumn("y", F.lit(0)), {0: max_docs}, max_chars // 2)
-    return fit([t for t, _ in pos], [t for t, _ in unl])
+    got = sample_texts(docs, known.where("y = 1").unionByName(free), {1: max_docs, 0: max_docs}, max_chars)
+    pos, unl = ([t for t, y in got if y == k] for k in (1, 0))
+    if pos and not unl:
+        unl = [t for t, _ in sample_texts(docs, known.withColumn("y", F.lit(0)), {0: max_docs}, max_chars // 2)]
+    return fit(pos, unl)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

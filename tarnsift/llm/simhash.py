@@ -11,8 +11,9 @@ fingerprints within RADIUS at least BLOCKS - RADIUS are equal. One table per pai
 keyed by them, therefore finds all; a match counts only in the first table that has it.
 
 Defined cases: a null text counts as empty; texts without a word have the fingerprint zero,
-texts of one word that word's; equal texts have equal fingerprints; rows that repeat a doc_id
-are separate, in order of text; a null doc_id comes first; of an empty table nothing comes;
+texts of one word that word's; equal texts have equal fingerprints; rows that share a doc_id, or
+null, are separate, in order of a hash of their texts; a null doc_id comes first; a very long
+text is votes like any other, summed where it is; of an empty table nothing comes;
 further columns are dropped.
 """
 
@@ -136,34 +137,34 @@ def within(queries: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFr
 def with_next(docs: DataFrame) -> DataFrame:
     """part, rn, sentinel, doc_id, text, next_text: each document with the next one's text.
 
-    Documents are dealt in ranges of doc_id, and the first of a range is also sent, as a
-    sentinel, to the range before it (of the first range: to the last). Within a range the
-    next row is then the next document, so no task sees more than a range.
+    Documents are dealt in ranges of doc_id; one that takes up several ranges, as null may, is
+    cut by the hash of its texts. The first row of a range is also sent, as a sentinel, to the
+    range before it (of the first range: to the last). Within a range the next row is then the
+    next document, so no task sees more than a range.
     """
     spark = docs.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(
-        "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).cast("long").alias("key")
-    )
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("key"))
     share = [k / parts for k in range(1, parts)]
-    cut = rows.agg(F.percentile_approx("key", share, max(10_000, 10 * parts)).alias("b")).first().b
-    bounds = sorted(set(cut or []))
-    part = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]).cast("array<bigint>"), lambda b: b <= F.col("key")))
-    rows = rows.withColumn("part", part if bounds else F.lit(0))
+    cut = rows.agg(F.percentile_approx("key", share, max(10_000, 10 * parts)).alias("b")).first().b or []
+    bounds = F.array(*[F.lit(b).cast("long") for b in cut]).cast("array<bigint>")
+    # A key with m bounds takes up m ranges of its hashes, from that of its first bound on.
+    mine = F.size(F.filter(bounds, lambda b: b == F.col("key")))
+    slice_of = F.least(mine - 1, F.floor((F.col("h") / 2.0**64 + 0.5) * mine).cast("int"))
+    part = F.size(F.filter(bounds, lambda b: b < F.col("key"))) + F.when(mine > 0, 1 + slice_of).otherwise(0)
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("part", part if cut else F.lit(0))
     # One row per range: no more than ``parts``.
-    first = sorted((r.part, r.k) for r in rows.groupBy("part").agg(F.min("key").alias("k")).collect())
-    sent = [(k, first[i - 1][0]) for i, (_, k) in enumerate(first)]
-    ends = spark.createDataFrame(sent, "key long, before int")
-    rows = rows.join(F.broadcast(ends), "key", "left")
-    rows = rows.select(
-        "doc_id", "key", "text",
-        F.inline(F.array_compact(F.array(
-            F.struct(F.col("part"), F.lit(False).alias("sentinel")),
-            F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("part"), F.lit(True).alias("sentinel"))),
-        ))),
-    )
-    order = Window.partitionBy("part").orderBy("sentinel", "key", "text")
-    return rows.select(
+    first = sorted((r.part, tuple(r.f)) for r in rows.groupBy("part").agg(F.min(F.struct("key", "h")).alias("f")).collect())
+    sent = [(*f, first[i - 1][0]) for i, (_, f) in enumerate(first)]
+    ends = spark.createDataFrame(sent, "key long, h long, before int")
+    # Equal rows that are first are sent once.
+    heads = rows.join(F.broadcast(ends), ["key", "h"]).dropDuplicates(["before"])
+    both = rows.withColumn("sentinel", F.lit(False)).unionByName(
+        heads.select("doc_id", "text", "key", "h", F.col("before").alias("part"), F.lit(True).alias("sentinel"))
+    )
+    order = Window.partitionBy("part").orderBy("sentinel", "key", "h", "text")
+    return both.select(
         "part", F.row_number().over(order).alias("rn"), "sentinel", "doc_id", "text",
         F.coalesce(F.lead("text").over(order), F.lit("")).alias("next_text"),
     )
@@ -203,7 +204,7 @@ def op4(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
     wide = fingerprints(rows, keys, {"fp": "text", "efp": "edited"})
     wide = wide.withColumn("nfp", F.lead("fp").over(Window.partitionBy("part").orderBy("rn"))).where(~F.col("sentinel"))
-    made = stage(wide.select("doc_id", "n_chars", "edited_sha256", "fp", "efp", "nfp"), shared_dir(docs.sparkSession))
+    made = stage(wide.select("doc_id", "n_chars", "edited_sha256", "fp", "efp", "nfp"), f"{shared_dir(docs.sparkSession)}/made")
     index = made.groupBy("fp").agg(F.count("*").alias("n"))
     asked = (F.pmod("doc_id", F.lit(100)) == 0) & F.col("doc_id").isNotNull()
     near = within(made.where(asked).select("fp").distinct(), index, radius)

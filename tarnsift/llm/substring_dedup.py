@@ -49,7 +49,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from zstandard import ZstdCompressor, ZstdDecompressor
 
-from tarnsift.llm.common import shared_dir, slices, stage, trim
+from tarnsift.llm.common import drop, shared_dir, slices, stage, trim
 
 WINDOW = 20
 SEED = 10
@@ -616,6 +616,7 @@ def kept(docs: DataFrame, digest: bool = False) -> DataFrame:
     c = _Corpus(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
     done, _ = c.run(render, fields, ["c0"])
+    drop(docs.sparkSession, f"{c.base}/paths", f"{c.base}/windows", f"{c.base}/exact")
     return done.select(F.col("c0").alias("doc_id"), "n_words", "n_removed", "kept")
 
 
@@ -640,6 +641,7 @@ def rewrite(docs: DataFrame) -> DataFrame:
     c = _Corpus(docs)
     more = ["text", *[f"c{k}" for k in range(len(c.others))]]
     done, _ = c.run(render, [T.StructField("left", T.StringType())], more)
+    drop(docs.sparkSession, f"{c.base}/paths", f"{c.base}/windows", f"{c.base}/exact")
     return c.named(done.withColumn("text", F.coalesce("left", "text")), docs.columns)
 
 

@@ -16,8 +16,8 @@ version, u64 documents, u64 ids, u64 blocks, u64 payload words; then per documen
 u8 is-null and u64 ids; per block u64 bit offset; then the payload as big-endian u32 words.
 
 Defined cases: a null text counts as empty and is stored as its end id; a null doc_id comes
-first; rows that repeat a doc_id stand by number of ids, then by their checksum; an empty
-table gives an empty result; further columns are dropped.
+first; rows that repeat a doc_id stand by number of ids, then by their checksum; a very long
+text is one document, whole in its segment; an empty table gives an empty result; further columns are dropped.
 """
 
 from __future__ import annotations
@@ -29,10 +29,10 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnsift.llm.common import shared_dir, slices, small_batches, stage
+from tarnsift.llm.common import drop, shared_dir, slices, small_batches, stage
 from tarnsift.llm.tokens import coder
 
 END = 1
@@ -40,6 +40,8 @@ LIMIT = 18
 BLOCK = 512
 #: A segment is closed once it has so many ids.
 SEGMENT = 1 << 19
+#: Segments whose starts are broadcast at most; a longer list is joined.
+LISTED = 500_000
 MAGIC, VERSION = b"TSIF", 1
 _HEAD = struct.Struct("<4sIQQQQ")
 
@@ -240,6 +242,7 @@ def write(docs: DataFrame, path: str, out: str, end: int = END) -> None:
     dealt.select("doc_id", "n", "ids").mapInArrow(run, "part int, seq int, ids long, blob binary").write.option(
         "compression", "none"
     ).parquet(f"{out}/segments")
+    drop(spark, f"{out}/encoded")
 
 
 def read(spark: SparkSession, out: str) -> DataFrame:
@@ -250,30 +253,33 @@ def read(spark: SparkSession, out: str) -> DataFrame:
 def _read(spark: SparkSession, out: str, with_ids: bool) -> DataFrame:
     blob = bytes(spark.read.schema("blob binary").parquet(f"{out}/lengths").first().blob)
     segs = spark.read.schema("part int, seq int, ids long, blob binary").parquet(f"{out}/segments")
-    # One number per segment of SEGMENT ids.
-    starts, total = {}, 0
-    for r in sorted(segs.select("part", "seq", "ids").collect()):
-        starts[r.part, r.seq] = total
-        total += r.ids
-    held = spark.sparkContext.broadcast((blob, starts))
+    # Ids before a segment: those of the parts before, of which there are no more than shuffle
+    # partitions, and those before it in its part.
+    sizes = segs.select("part", "seq", "ids")
+    before = lambda w, n: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    parts = sizes.groupBy("part").agg(F.sum("ids").alias("n")).withColumn("base", before(Window.orderBy("part"), "n"))
+    starts = sizes.withColumn("own", before(Window.partitionBy("part").orderBy("seq"), "ids")).join(parts, "part")
+    starts = starts.select("part", "seq", (F.col("base") + F.col("own")).alias("first"))
+    few = sizes.limit(LISTED + 1).count() <= LISTED
+    segs = segs.select("part", "seq", "blob").join(F.broadcast(starts) if few else starts, ["part", "seq"])
+    held = spark.sparkContext.broadcast(blob)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths, first = held.value
-        codes = Codes(np.frombuffer(lengths, np.uint8))
+        codes = Codes(np.frombuffer(held.value, np.uint8))
         for batch in batches:
-            for part, seq, b in zip(*(batch.column(c).to_pylist() for c in ("part", "seq", "blob")), strict=True):
+            for first, b in zip(batch.column("first").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 doc_ids, n, ids = parse(codes, b)
                 at = np.cumsum(n) - n
                 raw = memoryview(ids.astype("<u4").tobytes())
                 cut = [raw[4 * a : 4 * (a + k)] for a, k in zip(at.tolist(), n.tolist(), strict=True)]
                 last = pa.array([bytes(x) for x in cut], pa.binary()) if with_ids else pa.array([crc32(x) for x in cut], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, pa.int64()), pa.array(at + first[part, seq]), pa.array(n), last],
+                    [pa.array(doc_ids, pa.int64()), pa.array(at + first), pa.array(n), last],
                     names=["doc_id", "start", "n_tokens", "ids" if with_ids else "ids_crc32"],
                 )
 
     last = "ids binary" if with_ids else "ids_crc32 long"
-    return segs.select("part", "seq", "blob").mapInArrow(run, f"doc_id long, start long, n_tokens long, {last}")
+    return segs.select("first", "blob").mapInArrow(run, f"doc_id long, start long, n_tokens long, {last}")
 
 
 def op7(docs: DataFrame, path: str) -> DataFrame:

@@ -4,16 +4,16 @@ A document is a bag of sentences. Each sentence gets a probability from a linear
 hashed features of its words (the word and its leading 4, 5 and 6 characters, so inflected
 forms share evidence); a document's score is their noisy-or, 1 - prod(1 - p). Only document
 labels are used, and evidence never counts against: weights stay at zero or above, so a
-sentence without offence stays near the low bias and long clean texts don't add up. The gradient of the document's likelihood spreads over its sentences in
-proportion to their probabilities, so the model learns by itself which sentences offend, and
-``locate`` returns them.
+sentence without offence stays near the low bias and long clean texts don't add up. The gradient
+of the document's likelihood spreads over its sentences in proportion to their probabilities, so
+the model learns by itself which sentences offend, and ``locate`` returns them.
 
 Training takes a bounded sample (MAX_DOCS per class, MAX_CHARS in all; both are parameters)
 to the driver. Scoring is one map stage over the scan with the weights broadcast (WEIGHTS
 floats: a fixed size), no shuffle.
 
-Defined cases: a null or empty text has no sentence and scores 0; repeated rows score alike;
-without labels of both classes every score is below 1e-9; an empty table gives an empty result; further
+Defined cases: a null or empty text has no sentence and scores 0; repeated rows score alike; a
+null doc_id scores like any other and is never trained on; a very long text is one row; without labels of both classes every score is below 1e-9; an empty table gives an empty result; further
 columns pass through ``score``, except that columns named like its own are replaced.
 """
 

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnsift.llm.common import shared_dir, stage
+from tarnsift.llm.common import drop, shared_dir, stage
 from tarnsift.llm.simhash import as_hex, vote, words
 
 RADIUS = 3
@@ -269,6 +269,7 @@ def components(edges: DataFrame, base: str) -> DataFrame:
         joined = large.join(least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         now = stage(ordered(small), f"{base}/links{k + 1}")
+        drop(edges.sparkSession, f"{base}/links{k}", f"{base}/large{k}")
         k, was, last = k + 1, last, state(now)
         if was == last:
             break
@@ -280,7 +281,9 @@ def _rooted(fps: DataFrame, base: str, radius: int, *first: Column) -> DataFrame
     entries = stage(fps.groupBy("fingerprint").agg(*first), f"{base}/entries")
     tied = components(links(entries.select("fingerprint"), entries.count(), radius), f"{base}/components")
     rooted = entries.join(tied.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
-    return stage(rooted.withColumn("root", F.coalesce("root", "fingerprint")), f"{base}/rooted")
+    rooted = stage(rooted.withColumn("root", F.coalesce("root", "fingerprint")), f"{base}/rooted")
+    drop(fps.sparkSession, f"{base}/entries", f"{base}/components")
+    return rooted
 
 
 def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
