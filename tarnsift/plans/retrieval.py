@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from tarnsift.functions import text as X
 from tarnsift.operators import retrieval as R
 from tarnsift.operators import search as Q
+from tarnsift.operators.textindex import TextIndex
 from tarnsift.plans.registry import query
 from tarnsift.plans.relational import context_sql
 from tarnsift.sources import fixtures as S
+from tarnsift.sources.shared import once
 
 TERMS = ["ring", "gear", "hot", "blue"]
 _TOK = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
@@ -44,6 +46,24 @@ def fused(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return chunks, pages.select("page_id", F.flatten(F.transform("l", lambda x: x["tokens"])).alias("tokens"))
 
 
+def text_index(spark: SparkSession, d: str, name: str, docs: DataFrame, key: str) -> TextIndex:
+    """The stored index of ``docs`` (``key``, tokens), written when it is first asked for."""
+    rows = docs.select(F.col(key).alias("id"), "tokens")
+    return once(spark, name, f"{d}/documents.parquet", lambda path: TextIndex.write(rows, path))
+
+
+def texts(spark: SparkSession, d: str) -> Q.Corpus:
+    """The corpus with its indexes of chunks and pages."""
+    c = corpus(spark, d)
+    c.chunk_index = text_index(spark, d, "chunks", c.chunks, "chunk_id")
+    c.page_index = text_index(spark, d, "fused pages", c.pages, "page_id")
+    return c
+
+
+def line_pages(spark: SparkSession, d: str) -> DataFrame:
+    return S.page(spark, d).select("page_id", "title", "page_number", "extracted_text", X.tokens(F.col("extracted_text")).alias("tokens"))
+
+
 def corpus(spark: SparkSession, d: str) -> Q.Corpus:
     v = S.vec(spark, d)
     chunks, pages = fused(spark, d)
@@ -70,9 +90,9 @@ h AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf /
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM h)
 SELECT query_id, id, score, rank FROM r WHERE rank <= 10""")
 def s4_bm25(spark: SparkSession, d: str) -> DataFrame:
-    docs = S.page(spark, d).select(F.col("page_id").alias("id"), X.tokens(F.col("extracted_text")).alias("tokens"))
+    index = text_index(spark, d, "pages", line_pages(spark, d), "page_id")
     asked = S.query(spark, d).select(F.col("item_id").alias("query_id"), F.split("query", " ").alias("terms"))
-    return R.bm25_batch(docs, asked).select("query_id", "id", "score", "rank")
+    return index.batch(asked).select("query_id", "id", "score", "rank")
 
 
 @query(f"SELECT chunk_id, {_DENSE} AS score, row_number() OVER (ORDER BY {_DENSE} DESC, chunk_id)::INT AS rank FROM v_vec ORDER BY 2 DESC, 1 LIMIT 10")
@@ -96,8 +116,8 @@ z AS (SELECT t.*, s, (SELECT query FROM v_query WHERE item_id = 0) AS q FROM c J
 y AS (SELECT *, strpos(lower(extracted_text), lower(q)) AS a FROM z)
 SELECT page_id, title, page_number, 1.0::DOUBLE AS score, s AS ft_score, {context_sql('extracted_text', 'a', 'length(q)')} AS snippet FROM y""")
 def r1_keyword(spark: SparkSession, d: str) -> DataFrame:
-    pages = S.page(spark, d).select("page_id", "title", "page_number", "extracted_text", X.tokens(F.col("extracted_text")).alias("tokens"))
-    return Q.keyword(pages, S.first_query(spark, d))
+    pages = line_pages(spark, d)
+    return Q.keyword(pages, S.first_query(spark, d), index=text_index(spark, d, "pages", pages, "page_id"))
 
 
 _KNN = f"SELECT *, {_DENSE} AS s FROM v_vec ORDER BY s DESC, chunk_id LIMIT {{k}}"
@@ -140,7 +160,7 @@ r AS (SELECT chunk_id, rank, 0 AS src FROM k UNION ALL SELECT chunk_id, rank, 1
 SELECT *, row_number() OVER (ORDER BY rrf DESC, src_priority, first_rank, chunk_id)::INT AS rank FROM f
 ORDER BY rrf DESC, src_priority, first_rank, chunk_id LIMIT 10""")
 def r4_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return Q.chunks(corpus(spark, d), S.first_query(spark, d), S.first_vector(spark, d))
+    return Q.chunks(texts(spark, d), S.first_query(spark, d), S.first_vector(spark, d))
 
 
 _R5 = f"""
@@ -155,7 +175,7 @@ r5 AS (SELECT page_id, rrf, src_priority, first_rank, chunk_id, chunk_id IS NOT
 
 @query(f"WITH {_R5} SELECT * FROM r5 WHERE rank <= 10")
 def r5_rrf(spark: SparkSession, d: str) -> DataFrame:
-    return Q.rrf(corpus(spark, d), S.first_query(spark, d), S.first_vector(spark, d))
+    return Q.rrf(texts(spark, d), S.first_query(spark, d), S.first_vector(spark, d))
 
 
 _HITS = " + ".join(f"max(CASE WHEN len(list_filter(names, lambda n: contains(n, '{t}'))) > 0 THEN 1 ELSE 0 END)" for t in TERMS)
@@ -220,7 +240,7 @@ a3 AS (SELECT page_id, score, row_number() OVER (ORDER BY src, rank)::INT AS pla
 
 
 def _answer(spark: SparkSession, d: str) -> DataFrame:
-    c, q = corpus(spark, d), S.first_vector(spark, d)
+    c, q = texts(spark, d), S.first_vector(spark, d)
     queries = [r.v for r in c.vecs.where("vec_id < 3").orderBy("vec_id").collect()]
     seen = c.mentions.where("entity_key = 5").select("page_id").distinct()
     graph = R.top(seen, 100, "page_id")
