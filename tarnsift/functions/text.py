@@ -13,10 +13,11 @@ from tarnsift.functions.clean import strip
 TOKEN = "[^\\p{L}\\p{N}]+"
 # Words that an exploration query ignores.
 STOPWORDS = (
-    "what when where which who why how the and for with from this that these those are was has have had can will would "
-    "should could may might does did about into over amp wire feet foot size type kind data page book text please tell "
-    "show give find look search"
-).split()
+    "what", "when", "where", "which", "who", "why", "how", "the", "and", "for", "with", "from", "this", "that", "these",
+    "those", "are", "was", "has", "have", "had", "can", "will", "would", "should", "could", "may", "might", "does", "did",
+    "about", "into", "over", "amp", "wire", "feet", "foot", "size", "type", "kind", "data", "page", "book", "text",
+    "please", "tell", "show", "give", "find", "look", "search",
+)
 
 
 def tokens(c: Column) -> Column:
@@ -115,6 +116,7 @@ def chain(from_name: Column, from_label: Column, rel1: Column, hop1: Column, lab
     return F.when(hop2.isNotNull(), two).otherwise(one)
 
 
+# Fixed value: how an answer cites pages.
 CITATION = r"\[(?:#\s*\d+(?:\s*[,\-–]\s*#?\s*\d+)*|Pages?\s+[^\]]+)\]"
 
 

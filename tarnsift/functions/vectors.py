@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,9 +35,13 @@ def l2_normalize(c: Column) -> Column:
 def to_binary(c: Column | str) -> Column:
     """Multi-vectors, arrays of arrays of numbers, as row-major little-endian float32 bytes."""
 
-    @F.pandas_udf("binary")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda m: None if m is None else np.asarray([list(r) for r in m], "<f4").tobytes())
+    @F.arrow_udf("binary")
+    def run(a: pa.Array) -> pa.Array:
+        at = np.asarray(a.values.offsets)[np.asarray(a.offsets)]
+        flat = np.asarray(a.values.values)[at[0] : at[-1]].astype("<f4")
+        ends = ((at - at[0]) * 4).astype("<i4")
+        made = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+        return pc.if_else(a.is_valid(), made, pa.scalar(None, pa.binary()))
 
     return run(c)
 
@@ -44,10 +49,15 @@ def to_binary(c: Column | str) -> Column:
 def from_binary(c: Column | str, k: Column | str) -> Column:
     """The ``k`` vectors of such bytes."""
 
-    @F.pandas_udf("array<array<float>>")
-    def run(s: pd.Series, n: pd.Series) -> pd.Series:
-        back = lambda b, m: None if b is None else np.frombuffer(b, "<f4").reshape(int(m), -1).tolist() if m else []
-        return pd.Series([back(b, m) for b, m in zip(s, n, strict=True)])
+    @F.arrow_udf("array<array<float>>")
+    def run(a: pa.Array, n: pa.Array) -> pa.Array:
+        size = pc.fill_null(pc.binary_length(a), 0).to_numpy(zero_copy_only=False) // 4
+        rows = np.where(size > 0, pc.fill_null(n, 0).to_numpy(zero_copy_only=False), 0).astype(np.int64)
+        flat = np.frombuffer(b"".join(x for x in a.to_pylist() if x), "<f4")
+        each = np.repeat(size // np.maximum(rows, 1), rows)
+        inner = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(each)), pa.int32()), pa.array(flat, pa.float32()))
+        ends = pa.array(np.append(0, np.cumsum(rows)), pa.int32())
+        return pa.ListArray.from_arrays(ends, inner, mask=a.is_null()) if a.null_count else pa.ListArray.from_arrays(ends, inner)
 
     return run(c, k)
 
@@ -56,20 +66,25 @@ def random_projection(c: Column | str, target: int = 128, seed: int = 42) -> Col
     """Vectors projected by a fixed Gaussian matrix over the root of ``target`` and brought back to
     unit length; vectors of that size stay."""
 
-    @F.pandas_udf("array<float>")
-    def run(s: pd.Series) -> pd.Series:
-        made: dict[int, np.ndarray] = {}
-
-        def one(v):
-            if v is None or len(v) == target:
-                return v
-            if len(v) not in made:
+    @F.arrow_udf("array<float>")
+    def run(a: pa.Array) -> pa.Array:
+        # All vectors of a batch that have one size are one matrix product.
+        size = pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False)
+        first, flat = np.asarray(a.offsets)[:-1], np.asarray(a.values, np.float32)
+        out = np.where(a.is_valid().to_numpy(zero_copy_only=False), target, 0)
+        ends = np.append(0, np.cumsum(out))
+        made = np.zeros(ends[-1], np.float32)
+        for n in np.unique(size[out > 0]).tolist():
+            rows = np.flatnonzero((size == n) & (out > 0))
+            v = flat[first[rows][:, None] + np.arange(n)]
+            if n != target:
                 # The published seed and generator give the same matrix.
-                made[len(v)] = np.random.RandomState(seed).randn(len(v), target).astype(np.float32) / np.float32(np.sqrt(target))
-            y = np.asarray(v, np.float32) @ made[len(v)]
-            return y / max(float(np.linalg.norm(y)), 1e-8)
-
-        return s.map(one)
+                matrix = np.random.RandomState(seed).randn(n, target).astype(np.float32) / np.float32(np.sqrt(target))
+                v = v @ matrix
+                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-8)
+            made[ends[rows][:, None] + np.arange(target)] = v
+        mask = a.is_null() if a.null_count else None
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(made), mask=mask)
 
     return run(c)
 

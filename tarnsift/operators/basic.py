@@ -36,6 +36,16 @@ def any_term(name: str, aliases: str, terms: Sequence[str]) -> Column:
     return F.coalesce(hit(F.col(name)), F.lit(False)) | F.coalesce(F.exists(aliases, hit), F.lit(False))
 
 
+def term_join(entities: DataFrame, terms: DataFrame, most: int = 1_000) -> DataFrame:
+    """Each entity (name, common_names) with each of ``terms`` (term) that is part of its name or
+    of an alias. The terms are a request's: ``most`` at most, or it is refused."""
+    asked = terms.select(F.lower("term").alias("term")).distinct()
+    if asked.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} terms")
+    names = F.transform(F.array_append(F.coalesce("common_names", F.array().cast("array<string>")), F.col("name")), F.lower)
+    return entities.join(F.broadcast(asked), F.exists(names, lambda x: F.contains(x, F.col("term"))))
+
+
 def is_or_alias(value: str, key: str, aliases: str, title: str | None = None) -> Column:
     same = (F.col(key) == value) | F.coalesce(F.array_contains(aliases, value), F.lit(False))
     return same | (F.col(title) == value) if title else same

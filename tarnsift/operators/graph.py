@@ -72,7 +72,7 @@ def two_hop(seeds: DataFrame, first: DataFrame, second: DataFrame, limit: int =
 
 def seed_entities(mentions: DataFrame, pages: DataFrame, limit: int = 20) -> DataFrame:
     """The entities that most of ``pages`` mention."""
-    hits = mentions.join(F.broadcast(pages), "page_id", "left_semi").groupBy("entity_key").agg(F.countDistinct("page_id").alias("page_hits"))
+    hits = mentions.join(pages, "page_id", "left_semi").groupBy("entity_key").agg(F.countDistinct("page_id").alias("page_hits"))
     return hits.orderBy(F.desc("page_hits"), "entity_key").limit(limit)
 
 
@@ -95,11 +95,46 @@ def explore_pages(mentions: DataFrame, pages: DataFrame, edges: DataFrame, back:
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= max_pages)
 
 
+def cross_references(edges: DataFrame, start: str, limit: int = 50) -> DataFrame:
+    """src and dst of what ``start`` refers to, and of what that refers to in turn."""
+    own = edges.where(F.col("src") == start).select("src", "dst")
+    onward = edges.join(own.select(F.col("dst").alias("src")), "src").select("src", "dst")
+    return onward.unionByName(own).orderBy("src", "dst").limit(limit)
+
+
+def requirements(entities: DataFrame, edges: DataFrame, name: str, limit: int = 50) -> DataFrame:
+    """The distinct targets of the entities that ``name`` means, joined by ``|``."""
+    found = entities.where(is_or_alias(name, "name", "common_names")).select("entity_key", "name")
+    mine = edges.withColumnRenamed("src", "entity_key").join(found.select("entity_key"), "entity_key", "left_semi")
+    return collected(found, mine, "entity_key", "dst", "standards").orderBy("entity_key").limit(limit)
+
+
+def page_entities(pages: DataFrame, mentions: dict[str, DataFrame], page_id: int, limit: int = 50) -> DataFrame:
+    """A page with the entities of each kind that it mentions; ``mentions``: by kind, page_id and
+    entity. Each kind is gathered by itself, so kinds don't multiply."""
+    out = pages.where(F.col("page_id") == page_id).select("page_id", "page_number")
+    for kind, edges in mentions.items():
+        out = collected(out, edges.where(F.col("page_id") == page_id), "page_id", "entity", kind)
+    return out.limit(limit)
+
+
+def entity_pages(entities: DataFrame, mentions: DataFrame, pages: DataFrame, documents: DataFrame, name: str, limit: int = 50) -> DataFrame:
+    """The pages that mention what ``name`` means, with their documents, by title and number."""
+    found = entities.where(is_or_alias(name, "name", "common_names")).select("entity_key")
+    hits = mentions.join(found, "entity_key", "left_semi").select("page_id", "context")
+    both = hits.join(pages, "page_id").join(documents.select("doc_id", "title"), "doc_id")
+    return both.select("doc_id", "title", "page_number", "context").orderBy("title", "page_number", "context").limit(limit)
+
+
 #: Template, its required parameters; the service answers 400 without them.
 TEMPLATES: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...]]] = {
     "material_standards": (governed, ("entities", "edges", "targets", "name")),
     "process_materials": (governing, ("entities", "edges", "target")),
+    "standard_cross_references": (cross_references, ("edges", "start")),
     "material_properties": (entity_card, ("entities", "mentions", "name")),
+    "equipment_requirements": (requirements, ("entities", "edges", "name")),
+    "page_entities": (page_entities, ("pages", "mentions", "page_id")),
+    "entity_pages": (entity_pages, ("entities", "mentions", "pages", "documents", "name")),
     "entity_explore": (explore, ("edges", "start")),
 }
 

@@ -74,6 +74,42 @@ def g7_entity_pages(spark: SparkSession, d: str) -> DataFrame:
     return hits.join(S.kg_page(spark, d), "page_id").join(S.kg_document(spark, d).select("doc_id", "title"), "doc_id").select("page_id", "title", "page_number")
 
 
+@query("""
+WITH m AS (SELECT entity_key FROM v_material WHERE name = 'small ring 0' OR list_contains(common_names, 'small ring 0'))
+SELECT doc_id, title, page_number, context FROM v_mention JOIN m USING (entity_key) JOIN v_kg_page USING (page_id) JOIN v_kg_document USING (doc_id)
+ORDER BY title, page_number, context LIMIT 500""")
+def g8_entity_pages(spark: SparkSession, d: str) -> DataFrame:
+    frames = {"entities": S.material(spark, d), "mentions": S.mention(spark, d), "pages": S.kg_page(spark, d), "documents": S.kg_document(spark, d)}
+    return G.template("entity_pages", frames | {"name": "small ring 0"}, 500)
+
+
+@query("""
+WITH m AS (SELECT entity_key, name FROM v_material WHERE name = 'SMALL RING' OR list_contains(common_names, 'SMALL RING'))
+SELECT m.entity_key, name, coalesce(array_to_string(list_sort(list_distinct(list(g.dst) FILTER (g.dst IS NOT NULL))), '|'), '') AS standards
+FROM m LEFT JOIN v_governed_by g ON g.src = m.entity_key GROUP BY 1, 2 ORDER BY 1 LIMIT 500""")
+def g8_equipment_requirements(spark: SparkSession, d: str) -> DataFrame:
+    return G.template("equipment_requirements", {"entities": S.material(spark, d), "edges": S.governed_by(spark, d), "name": "SMALL RING"}, 500)
+
+
+@query("""
+SELECT page_id, page_number,
+  (SELECT array_to_string(list_sort(list_distinct(list(l_partkey))), '|') FROM lineitem WHERE l_orderkey = page_id) AS materials,
+  (SELECT array_to_string(list_sort(list_distinct(list(l_suppkey))), '|') FROM lineitem WHERE l_orderkey = page_id) AS standards
+FROM v_kg_page WHERE page_id = (SELECT min(l_orderkey) FROM lineitem)""")
+def g8_page_entities(spark: SparkSession, d: str) -> DataFrame:
+    line = table(spark, d, "lineitem")
+    one = line.agg(F.min("l_orderkey")).first()[0]
+    kinds = {k: line.select(F.col("l_orderkey").alias("page_id"), F.col(c).alias("entity")) for k, c in (("materials", "l_partkey"), ("standards", "l_suppkey"))}
+    return G.template("page_entities", {"pages": S.kg_page(spark, d), "mentions": kinds, "page_id": one})
+
+
+@query("""
+SELECT src, dst FROM (SELECT b.src, b.dst FROM v_references a JOIN v_references b ON b.src = a.dst WHERE a.src = 'S2'
+  UNION ALL SELECT src, dst FROM v_references WHERE src = 'S2') ORDER BY 1, 2 LIMIT 500""")
+def g8_cross_references(spark: SparkSession, d: str) -> DataFrame:
+    return G.template("standard_cross_references", {"edges": S.references(spark, d), "start": "S2"}, 500)
+
+
 _EDGE = """
 e AS (SELECT src, dst, CASE WHEN dst LIKE 'N%' THEN 'IN_NATION' ELSE 'IN_REGION' END AS rel, src || '~' || dst AS id FROM v_references),
 s AS (SELECT src, dst, rel, id FROM e UNION ALL SELECT dst, src, rel, id FROM e),

@@ -11,7 +11,7 @@ from tarnsift.functions import vectors as V
 from tarnsift.operators import basic as B
 from tarnsift.plans.registry import query
 from tarnsift.sources import fixtures as S
-from tarnsift.sources.tables import image_path, orphans, table
+from tarnsift.sources.tables import image_file, image_path, orphans, table
 
 _STRIP = r"regexp_replace({0}, '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g')"
 
@@ -684,3 +684,42 @@ def x26_prefixes(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT vec_id, round(list_dot_product(v, (SELECT v FROM v_vec WHERE vec_id = 0)), 6) AS d FROM v_vec")
 def x23_dot(spark: SparkSession, d: str) -> DataFrame:
     return S.vec(spark, d).select("vec_id", F.round(V.dot("v", S.first_vector(spark, d)), 6).alias("d"))
+
+
+@query("""
+WITH t AS (SELECT DISTINCT unnest(string_split(query, ' ')) AS term FROM v_query), n AS (
+  SELECT entity_key, unnest(list_append(common_names, name)) AS x FROM v_material)
+SELECT DISTINCT entity_key, term FROM n JOIN t ON contains(lower(x), term)""")
+def j7_term_join(spark: SparkSession, d: str) -> DataFrame:
+    terms = S.query(spark, d).select(F.explode(F.split("query", " ")).alias("term"))
+    return B.term_join(S.material(spark, d), terms).select("entity_key", "term")
+
+
+@query("""
+SELECT page_id, '/images/' || file_hash || '/' || page_number || '/reduced' AS served,
+  'page_' || lpad(page_number::VARCHAR, greatest(4, length(page_number::VARCHAR))::INT, '0') || '.png' AS file FROM v_page""")
+def s18_image_files(spark: SparkSession, d: str) -> DataFrame:
+    number = F.col("page_number")
+    return S.page(spark, d).select("page_id", image_path(F.col("file_hash"), number, reduced=True).alias("served"), image_file(number).alias("file"))
+
+
+@query("SELECT page_id, count(*)::INT AS k, round(sum(list_sum(list_transform(v, lambda x: x::FLOAT::DOUBLE))), 6) AS total FROM v_vec GROUP BY 1")
+def s19_multi_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Multi-vectors through their bytes and back."""
+    m = S.vec(spark, d).groupBy("page_id").agg(F.collect_list("v").alias("m")).select("page_id", F.size("m").alias("k"), V.to_binary("m").alias("b"))
+    back = m.select("page_id", F.size(V.from_binary("b", "k")).alias("k"), F.flatten(V.from_binary("b", "k")).alias("x"))
+    total = F.aggregate("x", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return back.select("page_id", "k", F.round(total, 6).alias("total"))
+
+
+@query()
+def x24_projection(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors projected to 16 figures; the matrix has no SQL."""
+    return S.vec(spark, d).select("vec_id", V.random_projection("v", 16).alias("p"))
+
+
+@query("SELECT event_id, props AS object FROM events")
+def x28_first_object(spark: SparkSession, d: str) -> DataFrame:
+    """The object out of a fenced answer with more text and braces behind it."""
+    fence = F.concat(F.lit("```json\nthe object: "), F.col("props"), F.lit(' and {"more": "}"}\n```'))
+    return table(spark, d, "events").select("event_id", X.first_json_object(fence).alias("object"))

@@ -33,7 +33,7 @@ def image_path(file_hash: Column, page: Column, reduced: bool = False) -> Column
 
 def image_file(page: Column) -> Column:
     """The zero-padded file name of a page's image."""
-    return F.concat(F.lit("page_"), F.lpad(page.cast("string"), 4, "0"), F.lit(".png"))
+    return F.concat(F.lit("page_"), F.format_string("%04d", page), F.lit(".png"))
 
 
 def orphans(files: DataFrame, jobs: DataFrame, path: str = "path") -> DataFrame:

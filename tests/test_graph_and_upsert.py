@@ -1,8 +1,12 @@
 """Invariants where there is no oracle: communities, idempotent upserts, streams, templates."""
 
+import random
+from itertools import combinations
+
 import pytest
 from pyspark.sql import functions as F
 
+from tarnsift.operators import basic as B
 from tarnsift.operators import community as M
 from tarnsift.operators import graph as G
 from tarnsift.operators import retrieval as R
@@ -33,6 +37,55 @@ def test_communities_cover_each_page_once(spark):
     assert sorted(map(sorted, fine.values())) == [[0, 1, 2, 3, 4], [10, 11, 12, 13, 14]]
 
 
+def modularity(own, edges, resolution):
+    total, degree, inside = sum(w for *_, w in edges), {}, 0.0
+    for a, b, w in edges:
+        degree[a], degree[b] = degree.get(a, 0) + w, degree.get(b, 0) + w
+        inside += w if own[a] == own[b] else 0
+    mass = {}
+    for n, k in degree.items():
+        mass[own[n]] = mass.get(own[n], 0) + k
+    return inside / total - resolution * sum((m / (2 * total)) ** 2 for m in mass.values())
+
+
+@pytest.mark.parametrize("resolution", [2.0, 1.0, 0.5])
+def test_leiden_communities_are_connected_and_no_worse_than_those_planted(resolution):
+    for seed in range(6):
+        r = random.Random(seed)
+        group = {n: n % 8 for n in range(120)}
+        edges = [(a, b, float(r.randint(1, 3))) for a, b in combinations(range(120), 2) if r.random() < (0.4 if group[a] == group[b] else 0.02)]
+        own = M.leiden(list(range(120)), edges, resolution)
+        adj = {}
+        for a, b, _ in edges:
+            adj.setdefault(a, set()).add(b)
+            adj.setdefault(b, set()).add(a)
+        assert set(own) == set(range(120)) and len(set(M._in_one_piece(own, {n: adj.get(n, ()) for n in own}).values())) == len(set(own.values()))
+        got = modularity(own, edges, resolution)
+        # A heuristic: at the lowest resolution the planted groups aren't quite the best found.
+        assert got >= modularity(group, edges, resolution) - 1e-3
+        assert got >= modularity(M.leiden(list(range(120)), edges, resolution, passes=1), edges, resolution) - 1e-9
+        # No single node gains by going to another community.
+        for n in range(0, 120, 7):
+            for c in {own[m] for m in adj.get(n, ())}:
+                assert modularity(own | {n: c}, edges, resolution) <= got + 1e-9
+
+
+def test_crowded_entities_are_projected_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(M, "CROWD", 3)
+    m = spark.createDataFrame([(p, 1) for p in range(20)] + [(p, 2) for p in range(0, 20, 2)] + [(5, 3), (6, 3)], "page_id long, entity_key long")
+    got = {(r.src, r.dst): r.weight for r in M.project(m).collect()}
+    want = {(a, b): 1 + (a % 2 == b % 2 == 0) + ((a, b) == (5, 6)) for a, b in combinations(range(20), 2)}
+    assert got == want
+
+
+def test_terms_of_a_request_are_bounded(spark):
+    e = spark.createDataFrame([(1, "Small Ring", None), (2, "gear", ["Big RING"])], "entity_key long, name string, common_names array<string>")
+    t = spark.createDataFrame([("ring",), ("RING",), ("gear",)], "term string")
+    assert sorted((r.entity_key, r.term) for r in B.term_join(e, t).collect()) == [(1, "ring"), (2, "gear"), (2, "ring")]
+    with pytest.raises(ValueError):
+        B.term_join(e, t, most=1)
+
+
 def test_communities_do_not_depend_on_partitions(spark):
     e = two_cliques(spark)
     a, b = (sorted(map(tuple, M.detect(x).collect())) for x in (e, e.repartition(7)))
