@@ -8,7 +8,8 @@ of its key's hash, and the table, whose size is SLOTS whatever the data, is broa
 row is placed in constant time, without a shuffle.
 
 Defined cases: a null key hashes as null does and has a place like any other; equal keys go
-together; one shard takes all; an empty table gives an empty result; further columns pass
+together; repeated rows and a very long text go where their key goes; one shard takes all, and
+more shards than slots are refused; an empty table gives an empty result; further columns pass
 through, except that slot and shard are replaced.
 """
 
@@ -34,6 +35,8 @@ def fill(names: tuple[str, ...], slots: int = SLOTS) -> list[int]:
     """The table: the index in ``names`` of the shard that holds each slot."""
     if not names or len(set(names)) < len(names):
         raise ValueError("shards need distinct names")
+    if len(names) > slots:
+        raise ValueError(f"more shards than the {slots} slots")
     table = [-1] * slots
     at, skip = map(list, zip(*(preference(n, slots) for n in names), strict=True))
     free = slots

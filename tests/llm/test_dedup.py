@@ -245,8 +245,9 @@ def test_sharding_table():
     moved = np.mean([a != b for a, b in zip(full, less, strict=True)])
     assert 1 / 64 <= moved < 4 / 64
     assert set(sharding.fill(("one",), 13)) == {0}
-    with pytest.raises(ValueError):
-        sharding.fill(())
+    for names in ((), ("a", "a"), tuple(map(str, range(14)))):
+        with pytest.raises(ValueError):
+            sharding.fill(names, 13)
 
 
 def test_op9(spark):
