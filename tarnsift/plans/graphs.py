@@ -214,7 +214,7 @@ r(node, component) USING KEY (node) AS (
   WHERE r.component < o.component GROUP BY 1)
 SELECT node, component FROM r""")
 def g13_components(spark: SparkSession, d: str) -> DataFrame:
-    return M.connected(M.project(S.mention(spark, d)))
+    return M.connected(M.stars(S.mention(spark, d)))
 
 
 @query()
