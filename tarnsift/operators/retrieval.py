@@ -134,7 +134,7 @@ def overlap(query: str, texts: list[str]) -> list[float]:
 
 
 def rerank(df: DataFrame, query: str, text: str = "text", pool: int = 50, scorer: Scorer = overlap, longest: int = 1800) -> DataFrame:
-    """``df`` (with rank, 1 and on without gaps) with rerank_score in its first ``pool`` rows and a new place: the pool
+    """``df`` (with rank) with rerank_score in its first ``pool`` rows and a new place: the pool
     by its scores, then the others as they were."""
     schema = T.StructType([*df.schema.fields, T.StructField("rerank_score", T.DoubleType())])
 
@@ -144,8 +144,8 @@ def rerank(df: DataFrame, query: str, text: str = "text", pool: int = 50, scorer
             yield b.assign(rerank_score=pd.Series(scores, index=b.index, dtype="float64"))
 
     scored = df.where(F.col("rank") <= pool).mapInPandas(run, schema)
-    scored = scored.withColumn("rerank_score", F.round("rerank_score", PLACES))
-    # The pool is ranked in one task, as many rows as it has; the others keep their ranks.
-    placed = scored.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("rerank_score"), "rank")))
     tail = df.where(F.col("rank") > pool).withColumn("rerank_score", F.lit(None).cast("double"))
-    return placed.unionByName(tail.withColumn("place", F.col("rank").cast("int")))
+    both = scored.unionByName(tail).withColumn("rerank_score", F.round("rerank_score", PLACES))
+    # ``df`` is a request's hits, cut before; ranks may have gaps, so all are placed together.
+    w = Window.orderBy(F.desc_nulls_last("rerank_score"), "rank")
+    return both.withColumn("place", F.row_number().over(w))
