@@ -54,7 +54,7 @@ def test_leiden_communities_are_connected_and_no_worse_than_those_planted(resolu
         r = random.Random(seed)
         group = {n: n % 8 for n in range(120)}
         edges = [(a, b, float(r.randint(1, 3))) for a, b in combinations(range(120), 2) if r.random() < (0.4 if group[a] == group[b] else 0.02)]
-        own = M.leiden(list(range(120)), edges, resolution)
+        own = M.leiden(list(range(120)), edges, resolution, passes=20)
         adj = {}
         for a, b, _ in edges:
             adj.setdefault(a, set()).add(b)
