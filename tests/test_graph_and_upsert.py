@@ -92,6 +92,39 @@ def test_communities_do_not_depend_on_partitions(spark):
     assert a == b
 
 
+def test_modularity_is_that_of_the_whole_graph(spark):
+    # By itself a ring of twelve is best cut; one of twenty such rings is best left whole.
+    ring = [(a, (a + 1) % 12, 1.0) for a in range(12)]
+    assert len(set(M.leiden(list(range(12)), ring, 1.0).values())) > 1
+    e = spark.createDataFrame([(100 * k + a, 100 * k + b, 1) for k in range(20) for a, b, _ in ring], "src long, dst long, weight long")
+    got = M.detect(e, resolutions=(1.0,)).groupBy("community_id").agg(F.count("*").alias("n"), F.countDistinct(F.expr("page_id div 100")).alias("rings"))
+    assert [tuple(r)[1:] for r in got.collect()] == [(12, 1)] * 20
+
+
+@pytest.mark.parametrize("most", [400, 1])
+def test_components_too_large_for_a_task_are_joined_to_smaller_ones(spark, most):
+    r = random.Random(5)
+    group = {n: n % 8 for n in range(120)}
+    edges = [(a, b, r.randint(1, 3)) for a, b in combinations(range(120), 2) if r.random() < (0.5 if group[a] == group[b] else 0.02)]
+    edges += [(200, b, 1) for b in range(201, 261)] + [(300, 301, 5), (301, 302, 5)]
+    adj = {}
+    for a, b, _ in edges:
+        adj.setdefault(a, set()).add(b)
+        adj.setdefault(b, set()).add(a)
+    e = spark.createDataFrame(edges, "src long, dst long, weight long")
+    whole, cut = (
+        {r.page_id: r.community_id for r in M.detect(e.repartition(p), resolutions=(1.0,), min_size=1, most=m).collect()}
+        for p, m in ((1, M.MAX_EDGES), (3, most))
+    )
+    assert set(whole) == set(cut) == set(adj)
+    assert len(set(M._in_one_piece(cut, adj).values())) == len(set(cut.values()))
+    assert modularity(cut, edges, 1.0) >= modularity(whole, edges, 1.0) * 0.95
+
+
+def test_no_edges_no_communities(spark):
+    assert M.detect(spark.createDataFrame([], "src long, dst long, weight long")).count() == 0
+
+
 def test_components(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "src long, dst long")
     got = dict(M.connected(e).collect())
