@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarnsift.llm import (
     bpe,
+    fill_middle,
     packing,
     quality_pu,
     quality_rules,
@@ -68,6 +69,10 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_dedup.op10(table(spark, sf_dir, "documents"))
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.op12(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_toxicity,
@@ -80,9 +85,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality_classifier,
         op9_sharding,
         op10_simhash_dedup,
+        op12_fill_middle,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.sql(), "op5_substring_dedup": substring_dedup.sql()}
+    return {
+        "op2_quality_rules": quality_rules.sql(),
+        "op5_substring_dedup": substring_dedup.sql(),
+        "op12_fill_middle": fill_middle.sql(),
+    }
