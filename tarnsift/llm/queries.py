@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tarnsift.llm import (
     bpe,
     fill_middle,
+    license_scan,
     packing,
     quality_pu,
     quality_rules,
@@ -69,6 +70,10 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_dedup.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.op11(table(spark, sf_dir, "documents"))
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.op12(table(spark, sf_dir, "documents"))
 
@@ -85,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality_classifier,
         op9_sharding,
         op10_simhash_dedup,
+        op11_license_scan,
         op12_fill_middle,
     )
     return {f.__name__: f for f in found}
