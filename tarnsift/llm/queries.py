@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarnsift.llm import (
     bpe,
+    conversation_trie,
     fill_middle,
     license_scan,
     packing,
@@ -78,6 +79,10 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.op12(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.op13(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_toxicity,
@@ -92,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_simhash_dedup,
         op11_license_scan,
         op12_fill_middle,
+        op13_conversation_trie,
     )
     return {f.__name__: f for f in found}
 
