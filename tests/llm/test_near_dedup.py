@@ -78,14 +78,51 @@ def test_one_of_each_group_stays(spark, monkeypatch, group, crowd):
     assert got == {rows[k][0] for k, c in enumerate(root) if c == k}
 
 
-def test_unsure_pairs_are_settled_by_their_texts(spark, monkeypatch):
-    """Without sure links, and with a radius that takes in all: only the texts decide."""
-    monkeypatch.setattr(near_dedup, "SURE", -1)
-    monkeypatch.setattr(near_dedup, "RADIUS", 120)
-    rows = [r for r in copies() if r[0] % 9 in (0, 1, 7, 8)]
+def clusters(many=6, of=30):
+    """Copies whose similarities lie on both sides of the bound."""
+    r = random.Random(8)
+    rows = [(None, edited(prose(400 + c, 300), r.randint(3, 6), 5000 + 100 * c + k)) for c in range(many) for k in range(of)]
+    return [(k, t, "en", "s", 1) for k, (_, t) in enumerate(rows)]
+
+
+@pytest.mark.parametrize(("group", "crowd", "members"), [(2000, 10_000, 2000), (10, 10_000, 2000), (2000, 20, 2000), (2000, 10_000, 7), (10, 10, 4)])
+def test_clusters_across_the_bound(spark, monkeypatch, group, crowd, members):
+    """Every pair that is near ends in one group, and none goes that is near nothing else."""
+    monkeypatch.setattr(near_dedup, "GROUP", group)
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
+    monkeypatch.setattr(near_dedup, "MEMBERS", members)
+    rows = clusters()
+    sets = [shingle_set(t) for _, t, *_ in rows]
     root = near_roots(rows)
     got = {r.doc_id for r in near_dedup.keep_first(docs(spark, rows)).collect()}
-    assert got == {rows[k][0] for k, c in enumerate(root) if c == k}
+    want = {k for k, c in enumerate(root) if c == k}
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8]
+    assert len(near) > 300 and len(want) > 30
+    both = [p for p in near if p[0] in got and p[1] in got]
+    assert len(both) <= 0.05 * len(near) and want <= got
+    gone = set(range(len(rows))) - got
+    assert all(any(i in p for p in near) for i in gone)
+    if group == 2000 and crowd == 10_000:
+        assert got == want
+
+
+def test_settled_sets_are_those_of_all_pairs():
+    """Sets of all degrees of overlap, with labels before and with only some asked."""
+    r = np.random.default_rng(4)
+    for trial in range(60):
+        m = int(r.integers(1, 40))
+        pool = [r.choice(60, size=int(r.integers(0, 40)), replace=False) for _ in range(4)]
+        sets = []
+        for _ in range(m):
+            x = pool[r.integers(4)]
+            sets.append({*x[r.random(len(x)) > 0.1].tolist(), *r.choice(10**6, size=int(r.integers(0, 3))).tolist()})
+        label = np.arange(m) if trial % 2 else r.integers(0, max(1, m // 2), m)
+        asked = np.ones(m, bool) if trial % 3 else r.random(m) < 0.4
+        h = np.array([x for s in sets for x in sorted(s)], np.uint64)
+        got = near_dedup.settle(h, np.array([len(s) for s in sets]), label, asked)
+        want = roots(list(range(m)), lambda i, j: label[i] == label[j] or ((asked[i] or asked[j]) and jaccard(sets[i], sets[j]) >= 0.8))
+        one = lambda x: [x.index(v) for v in x]
+        assert one(got.tolist()) == one(want)
 
 
 def test_tries_follow_from_the_number_of_fingerprints():
