@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,14 +36,47 @@ def any_term(name: str, aliases: str, terms: Sequence[str]) -> Column:
     return F.coalesce(hit(F.col(name)), F.lit(False)) | F.coalesce(F.exists(aliases, hit), F.lit(False))
 
 
-def term_join(entities: DataFrame, terms: DataFrame, most: int = 1_000) -> DataFrame:
+#: Characters of the pieces by which names and terms meet.
+GRAM = 3
+
+
+def _grams(size: int) -> Callable[[Column], Column]:
+    """The pieces of ``size`` characters of a text; of size 0 the empty one."""
+
+    def of(text: Column) -> Column:
+        if not size:
+            return F.array(F.lit(""))
+        n = F.length(text) - (size - 1)
+        every = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, F.lit(size)))
+        return F.when(n > 0, every).otherwise(F.array().cast("array<string>"))
+
+    return of
+
+
+def term_join(entities: DataFrame, terms: DataFrame) -> DataFrame:
     """Each entity (name, common_names) with each of ``terms`` (term) that is part of its name or
-    of an alias. The terms are a request's: ``most`` at most, or it is refused."""
-    asked = terms.select(F.lower("term").alias("term")).distinct()
-    if asked.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} terms")
+    of an alias, in any case.
+
+    A term is looked for by one of its pieces of GRAM characters, the one that fewest names have (a
+    shorter term by itself), so candidates are found by an equi-join, and are then compared.
+    Entities of the same names are looked at once. Null terms and names are part of nothing; the
+    empty term is part of every name.
+    """
     names = F.transform(F.array_append(F.coalesce("common_names", F.array().cast("array<string>")), F.col("name")), F.lower)
-    return entities.join(F.broadcast(asked), F.exists(names, lambda x: F.contains(x, F.col("term"))))
+    keyed = entities.withColumn("__names", F.array_compact(names))
+    asked = terms.select(F.lower("term").alias("term")).where("term IS NOT NULL").distinct()
+    size = F.least(F.length("term"), F.lit(GRAM))
+    sizes = [r.n for r in asked.select(size.alias("n")).distinct().collect()]
+    lists = keyed.select("__names").distinct()
+    pieces = [F.flatten(F.transform("__names", _grams(k))) for k in sizes] or [F.array().cast("array<string>")]
+    rows = lists.select("__names", F.explode(F.array_distinct(F.concat(*pieces))).alias("gram"))
+    count = rows.groupBy("gram").agg(F.count("*").alias("n"))
+    own = reduce(lambda c, k: c.when(size == k, _grams(k)(F.col("term"))), sizes, F.when(F.lit(False), F.array().cast("array<string>")))
+    key = asked.select("term", F.explode(F.array_distinct(own)).alias("gram")).join(count, "gram", "left")
+    # A piece that no name has comes first: such a term is part of none.
+    key = key.groupBy("term").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"))
+    hits = rows.join(key, "gram").where(F.exists("__names", lambda x: F.contains(x, F.col("term")))).select("__names", "term")
+    return keyed.join(hits, "__names").drop("__names")
 
 
 def is_or_alias(value: str, key: str, aliases: str, title: str | None = None) -> Column:

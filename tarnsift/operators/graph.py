@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,23 +41,37 @@ def collected(nodes: DataFrame, edges: DataFrame, key: str, value: str, name: st
 
 
 def explore(edges: DataFrame, start: str, depth: int = 1, limit: int = 500) -> DataFrame:
-    """node, path (edge types or ids joined by ``>``) and distance of what is 1 to ``depth``
-    steps from ``start``, edges taken either way and each at most once in a path.
-
-    ``edges``: src, dst, rel. The steps are unrolled joins from one node.
+    """node, path (edge types joined by ``>``) and distance of what is 1 to ``depth`` steps from
+    ``start``, edges taken either way and each at most once in a path: the first ``limit`` by
+    distance, node and path.
+
+    ``edges``: src, dst, rel. It goes level by level and stops at the one that fills ``limit``, for
+    nearer rows come first. From each end of a path only the first ``limit`` edges by node and type
+    are followed (and ``depth`` more, as some may be used): a hub with more fills the limit by
+    itself, so the ends that a further level starts from are no more than ``limit`` allows.
     """
     if not 1 <= depth <= 3:
         raise ValueError("depth must be 1 to 3")
-    both = edges.select("src", "dst", "rel", F.concat_ws("~", "src", "rel", "dst").alias("id"))
-    both = both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel", "id"))
-    step = both.where(F.col("src") == start).select(F.col("dst").alias("node"), F.array("id").alias("ids"), F.col("rel").alias("path"))
-    found = [step.withColumn("distance", F.lit(1))]
-    for k in range(2, depth + 1):
-        nxt = step.join(both, step["node"] == both["src"]).where(~F.array_contains("ids", F.col("id")))
-        step = nxt.select(F.col("dst").alias("node"), F.array_append("ids", F.col("id")).alias("ids"), F.concat_ws(">", "path", "rel").alias("path"))
-        found.append(step.withColumn("distance", F.lit(k)))
-    rows = reduce(DataFrame.unionByName, found).where(F.col("node") != start)
-    return rows.select("node", "path", "distance").distinct().orderBy("distance", "node", "path").limit(limit)
+    spark, kind = edges.sparkSession, edges.schema["src"].dataType.simpleString()
+    one = edges.select("src", "dst", "rel", F.concat_ws("~", "src", "rel", "dst").alias("id"))
+    both = one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rel", "id"))
+    schema = f"node {kind}, ids array<string>, path string"
+    ends = spark.createDataFrame([(start, [], "")], schema)
+    order = Window.partitionBy("src").orderBy("dst", "rel", "id")
+    rows: list[tuple] = []
+    for k in range(1, depth + 1):
+        # ``limit`` paths at most end in other nodes, each by one of a few ways.
+        near = both.join(F.broadcast(ends.select(F.col("node").alias("src")).distinct()), "src", "left_semi").distinct()
+        near = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit + depth)
+        step = near.join(F.broadcast(ends), near["src"] == ends["node"]).where(~F.array_contains("ids", F.col("id")))
+        path = F.when(F.col("path") == "", F.col("rel")).otherwise(F.concat_ws(">", "path", "rel"))
+        step = step.select(F.col("dst").alias("node"), F.array_append("ids", F.col("id")).alias("ids"), path.alias("path"))
+        found = step.where(F.col("node") != start).select("node", "path").distinct().orderBy("node", "path").limit(limit - len(rows))
+        rows += [(r.node, r.path, k) for r in found.collect()]
+        if len(rows) == limit or k == depth:
+            break
+        ends = spark.createDataFrame(step.distinct().collect(), schema)
+    return spark.createDataFrame(rows, f"node {kind}, path string, distance int")
 
 
 def two_hop(seeds: DataFrame, first: DataFrame, second: DataFrame, limit: int = 50) -> DataFrame:

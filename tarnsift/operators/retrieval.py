@@ -19,6 +19,8 @@ from tarnsift.functions import vectors as V
 K1, B = 1.2, 0.75
 RRF_K = 60
 PLACES = 6
+#: Hits of a request that are broadcast at most; a longer list is joined.
+FEW = 10_000
 
 
 def term_weight(n: Column, df: Column) -> Column:
@@ -143,9 +145,9 @@ def rerank(df: DataFrame, query: str, text: str = "text", pool: int = 50, scorer
             scores = scorer(query, [(t or "")[:longest] for t in b[text]]) if len(b) else []
             yield b.assign(rerank_score=pd.Series(scores, index=b.index, dtype="float64"))
 
-    scored = df.where(F.col("rank") <= pool).mapInPandas(run, schema)
+    scored = df.where(F.col("rank") <= pool).mapInPandas(run, schema).withColumn("rerank_score", F.round("rerank_score", PLACES))
+    # The window sorts the pool and the hits after it: ``df`` is what a request was cut to before.
+    # Ranks may have gaps, so the tail is counted too.
     tail = df.where(F.col("rank") > pool).withColumn("rerank_score", F.lit(None).cast("double"))
-    both = scored.unionByName(tail).withColumn("rerank_score", F.round("rerank_score", PLACES))
-    # ``df`` is a request's hits, cut before; ranks may have gaps, so all are placed together.
     w = Window.orderBy(F.desc_nulls_last("rerank_score"), "rank")
-    return both.withColumn("place", F.row_number().over(w))
+    return scored.unionByName(tail).withColumn("place", F.row_number().over(w))

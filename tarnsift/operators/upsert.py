@@ -65,9 +65,12 @@ def edges(old: DataFrame, new: DataFrame, sources: DataFrame, targets: DataFrame
 
 
 def chunks(old: DataFrame, new: DataFrame, kept: Sequence[str] = ("page_number", "chunk_index"), replaced: Sequence[str] = ("text",)) -> DataFrame:
-    """Chunks by chunk_id: on match ``kept`` columns stay and ``replaced`` ones are the new."""
-    n = new.select("chunk_id", *[F.col(c).alias(f"n_{c}") for c in (*kept, *replaced)])
-    both = old.select("chunk_id", *kept, *replaced).join(n, "chunk_id", "full")
+    """Chunks by chunk_id: on match ``kept`` columns stay and ``replaced`` ones are the new. Of rows
+    that share an id the least counts, so ids are unique."""
+    cols = [*kept, *replaced]
+    one = lambda df: df.groupBy("chunk_id").agg(F.min(F.struct(*cols)).alias("c")).select("chunk_id", "c.*")
+    n = one(new).withColumnsRenamed({c: f"n_{c}" for c in cols})
+    both = one(old).join(n, "chunk_id", "full")
     a = [F.coalesce(c, f"n_{c}").alias(c) for c in kept]
     return both.select("chunk_id", *a, *[F.coalesce(f"n_{c}", c).alias(c) for c in replaced])
 

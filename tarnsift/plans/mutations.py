@@ -83,16 +83,15 @@ def m6_edge_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH o AS (SELECT * FROM v_chunk WHERE page_number < 4), n AS (SELECT chunk_id, page_number + 1 AS page_number, chunk_index + 1 AS chunk_index, text || '!' AS text FROM v_chunk WHERE page_number > 2)
+WITH c AS (SELECT chunk_id, page_number, chunk_index, text, row_number() OVER (PARTITION BY chunk_id, page_number < 4, page_number > 2 ORDER BY page_number, chunk_index, text) AS k FROM v_chunk),
+o AS (SELECT * FROM c WHERE page_number < 4 AND k = 1), n AS (SELECT chunk_id, page_number + 1 AS page_number, chunk_index + 1 AS chunk_index, text || '!' AS text FROM c WHERE page_number > 2 AND k = 1)
 SELECT coalesce(o.chunk_id, n.chunk_id) AS chunk_id, coalesce(o.page_number, n.page_number) AS page_number,
-  coalesce(o.chunk_index, n.chunk_index) AS chunk_index, coalesce(n.text, o.text) AS text FROM o FULL JOIN n ON o.chunk_id = n.chunk_id
-  WHERE coalesce(o.chunk_id, n.chunk_id) NOT IN (SELECT chunk_id FROM v_chunk GROUP BY 1 HAVING count(*) > 1)""")
+  coalesce(o.chunk_index, n.chunk_index) AS chunk_index, coalesce(n.text, o.text) AS text FROM o FULL JOIN n ON o.chunk_id = n.chunk_id""")
 def m7_chunk_upsert(spark: SparkSession, d: str) -> DataFrame:
     c = S.chunk(spark, d).select("chunk_id", "page_number", "chunk_index", "text")
-    once = c.groupBy("chunk_id").count().where("count = 1").select("chunk_id")
     old = c.where("page_number < 4")
     new = c.where("page_number > 2").select("chunk_id", (F.col("page_number") + 1).alias("page_number"), (F.col("chunk_index") + 1).alias("chunk_index"), F.concat("text", F.lit("!")).alias("text"))
-    return U.chunks(old, new).join(once, "chunk_id", "left_semi")
+    return U.chunks(old, new)
 
 
 _NAMES = """

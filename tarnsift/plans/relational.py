@@ -361,12 +361,12 @@ def s12_file_hash(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH f AS (SELECT doc_id, 'upload_' || doc_id % 200 || '.pdf' AS path, n_chars AS size FROM documents),
-j AS (SELECT 'upload_' || job_id || '.pdf' AS path FROM v_jobs WHERE status IN ('queued', 'processing') AND event_id % 9 = 0)
+WITH f AS (SELECT doc_id, 'upload_' || doc_id || '.pdf' AS path, n_chars AS size FROM documents),
+j AS (SELECT 'upload_' || job_id || '.pdf' AS path FROM v_jobs WHERE status IN ('queued', 'processing'))
 SELECT count(*) AS deleted, sum(size)::BIGINT AS freed FROM f WHERE path NOT IN (SELECT path FROM j)""")
 def s20_orphan_files(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "documents").selectExpr("'upload_' || doc_id % 200 || '.pdf' AS path", "n_chars AS size")
-    j = S.jobs(spark, d).where("event_id % 9 = 0").selectExpr("'upload_' || job_id || '.pdf' AS path", "status")
+    f = table(spark, d, "documents").selectExpr("'upload_' || doc_id || '.pdf' AS path", "n_chars AS size")
+    j = S.jobs(spark, d).selectExpr("'upload_' || job_id || '.pdf' AS path", "status")
     return orphans(f, j).agg(F.count("*").alias("deleted"), F.sum("size").alias("freed"))
 
 

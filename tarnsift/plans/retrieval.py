@@ -10,10 +10,12 @@ from tarnsift.functions import text as X
 from tarnsift.operators import retrieval as R
 from tarnsift.operators import search as Q
 from tarnsift.operators.textindex import TextIndex
+from tarnsift.operators.vectorindex import VectorIndex
 from tarnsift.plans.registry import query
 from tarnsift.plans.relational import context_sql
 from tarnsift.sources import fixtures as S
-from tarnsift.sources.shared import once
+from tarnsift.sources.segments import Store, source_files
+from tarnsift.sources.tables import table
 
 TERMS = ["ring", "gear", "hot", "blue"]
 _TOK = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
@@ -46,17 +48,40 @@ def fused(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return chunks, pages.select("page_id", F.flatten(F.transform("l", lambda x: x["tokens"])).alias("tokens"))
 
 
-def text_index(spark: SparkSession, d: str, name: str, docs: DataFrame, key: str) -> TextIndex:
-    """The stored index of ``docs`` (``key``, tokens), written when it is first asked for."""
-    rows = docs.select(F.col(key).alias("id"), "tokens")
-    return once(spark, name, f"{d}/documents.parquet", lambda path: TextIndex.write(rows, path))
+def _read(spark: SparkSession, files: list[str]) -> DataFrame:
+    """Rows of some files, with the file of each as uri."""
+    return spark.read.parquet(*files).select("*", F.col("_metadata.file_path").alias("uri"))
+
+
+def text_index(spark: SparkSession, d: str, name: str) -> TextIndex:
+    """The stored index of chunks, of the pages they make up (fused pages), or of pages of lines."""
+    store, files = Store.of(spark, name, f"{d}/documents.parquet"), source_files(table(spark, d, "documents"))
+    if name == "fused pages":  # a page's documents may be in several files
+        return TextIndex.refresh(store, files, lambda _: fused(spark, d)[1].select(F.col("page_id").alias("id"), "tokens"), whole=True)
+
+    def chunk_rows(some: list[str]) -> DataFrame:
+        return _read(spark, some).select(F.col("doc_id").alias("id"), X.tokens(F.col("text")).alias("tokens"), "uri")
+
+    def page_rows(some: list[str]) -> DataFrame:
+        return S.page(spark, d, _read(spark, some)).select(F.col("page_id").alias("id"), X.tokens(F.col("extracted_text")).alias("tokens"), "uri")
+
+    return TextIndex.refresh(store, files, {"chunks": chunk_rows, "pages": page_rows}[name])
+
+
+def vector_index(spark: SparkSession, d: str) -> VectorIndex:
+    """The stored index of the chunks' vectors."""
+    source = table(spark, d, "embeddings")
+    store = Store.of(spark, "vectors", f"{d}/embeddings.parquet")
+    page = F.expr("vec_id div 5").alias("page_id")
+    rows = lambda some: _read(spark, some).select(F.col("vec_id").alias("id"), page, F.col("embedding").alias("v"), "uri")
+    return VectorIndex.refresh(store, source_files(source), rows)
 
 
 def texts(spark: SparkSession, d: str) -> Q.Corpus:
     """The corpus with its indexes of chunks and pages."""
     c = corpus(spark, d)
-    c.chunk_index = text_index(spark, d, "chunks", c.chunks, "chunk_id")
-    c.page_index = text_index(spark, d, "fused pages", c.pages, "page_id")
+    c.chunk_index = text_index(spark, d, "chunks")
+    c.page_index = text_index(spark, d, "fused pages")
     return c
 
 
@@ -72,9 +97,9 @@ def corpus(spark: SparkSession, d: str) -> Q.Corpus:
         F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda z: z["x"]).alias("v")
     )
     return Q.Corpus(
-        vecs=v, chunks=chunks, pages=pages, mentions=S.mention(spark, d).select("page_id", "entity_key"),
+        vecs=v, chunks=chunks, pages=pages, mentions=S.typed_mention(spark, d).select("page_id", "entity_key", "type"),
         entities=S.material(spark, d).select("entity_key", "name", "common_names"), communities=groups,
-        membership=v.select("page_id", F.col("label").alias("community_id")).distinct(),
+        membership=v.select("page_id", F.col("label").alias("community_id")).distinct(), page_vecs=S.page_vec(spark, d),
     )
 
 
@@ -90,9 +115,8 @@ h AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf /
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM h)
 SELECT query_id, id, score, rank FROM r WHERE rank <= 10""")
 def s4_bm25(spark: SparkSession, d: str) -> DataFrame:
-    index = text_index(spark, d, "pages", line_pages(spark, d), "page_id")
     asked = S.query(spark, d).select(F.col("item_id").alias("query_id"), F.split("query", " ").alias("terms"))
-    return index.batch(asked).select("query_id", "id", "score", "rank")
+    return text_index(spark, d, "pages").search(asked).select("query_id", "id", "score", "rank")
 
 
 @query(f"SELECT chunk_id, {_DENSE} AS score, row_number() OVER (ORDER BY {_DENSE} DESC, chunk_id)::INT AS rank FROM v_vec ORDER BY 2 DESC, 1 LIMIT 10")
@@ -100,6 +124,13 @@ def s5_knn(spark: SparkSession, d: str) -> DataFrame:
     return R.knn(S.vec(spark, d), S.first_vector(spark, d), 10).select("chunk_id", "score", "rank")
 
 
+@query()
+def s5_ann(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest, by the index, of every vector whose id is divisible by 100."""
+    asked = S.vec(spark, d).where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    return vector_index(spark, d).batch(asked, 10).select("query_id", F.col("id").alias("chunk_id"), "score", "rank")
+
+
 @query("""
 WITH q AS (SELECT vec_id AS q, v AS qv FROM v_vec WHERE vec_id < 3), m AS (
   SELECT page_id, q, max(list_dot_product(v, qv)) AS s FROM v_vec, q GROUP BY 1, 2)
@@ -109,6 +140,13 @@ def a20_maxsim(spark: SparkSession, d: str) -> DataFrame:
     return R.maxsim(v, [r.v for r in v.where("vec_id < 3").orderBy("vec_id").collect()])
 
 
+@query()
+def a20_late_top(spark: SparkSession, d: str) -> DataFrame:
+    """The five best pages by late interaction, through the index of their vectors."""
+    queries = [r.v for r in S.vec(spark, d).where("vec_id < 3").orderBy("vec_id").collect()]
+    return vector_index(spark, d).maxsim(queries, 5).select("page_id", "score", "rank")
+
+
 @query(f"""
 WITH t AS (SELECT page_id, title, page_number, extracted_text, {_TOK.format('extracted_text')} AS tokens FROM v_page),{scores('t', 'page_id', phrase=True)},
 c AS (SELECT page_id, s FROM b_t ORDER BY s DESC, page_id LIMIT 20),
@@ -117,7 +155,7 @@ y AS (SELECT *, strpos(lower(extracted_text), lower(q)) AS a FROM z)
 SELECT page_id, title, page_number, 1.0::DOUBLE AS score, s AS ft_score, {context_sql('extracted_text', 'a', 'length(q)')} AS snippet FROM y""")
 def r1_keyword(spark: SparkSession, d: str) -> DataFrame:
     pages = line_pages(spark, d)
-    return Q.keyword(pages, S.first_query(spark, d), index=text_index(spark, d, "pages", pages, "page_id"))
+    return Q.keyword(pages, S.first_query(spark, d), index=text_index(spark, d, "pages"))
 
 
 _KNN = f"SELECT *, {_DENSE} AS s FROM v_vec ORDER BY s DESC, chunk_id LIMIT {{k}}"
@@ -193,7 +231,7 @@ def r6_graph_boosted(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH k AS ({_KNN.format(k=50)}), p AS ({_PER_PAGE.format('k')}), t AS (SELECT * FROM p ORDER BY score DESC, page_id LIMIT 10),
-e AS (SELECT page_id, array_to_string(list_sort(list_distinct(list('Material:' || name))), '|') AS entities FROM v_mention JOIN v_material USING (entity_key) GROUP BY 1),
+e AS (SELECT page_id, array_to_string(list_sort(list_distinct(list(type || ':' || name))), '|') AS entities FROM v_typed_mention JOIN v_material USING (entity_key) GROUP BY 1),
 c AS (SELECT page_id, array_to_string(list_sort(list_distinct(list(label))), '|') AS communities FROM v_vec GROUP BY 1)
 SELECT t.page_id, score, best_chunk, coalesce(entities, '') AS entities, communities FROM t LEFT JOIN e USING (page_id) LEFT JOIN c USING (page_id)""")
 def r7_vector_first(spark: SparkSession, d: str) -> DataFrame:
@@ -207,9 +245,9 @@ def r7_vector_first(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH n AS (SELECT entity_key, name FROM v_material WHERE contains(lower(name), 'ring') OR contains(lower(name), 'gear')),
-m AS (SELECT page_id, least(count(DISTINCT name), 10) AS match_count FROM v_mention JOIN n USING (entity_key) GROUP BY 1),
+m AS (SELECT page_id, least(count(DISTINCT name), 10) AS match_count FROM v_typed_mention JOIN n USING (entity_key) GROUP BY 1),
 c AS (SELECT * FROM m ORDER BY match_count DESC, page_id LIMIT 50),
-z AS (SELECT c.page_id, match_count, round(match_count + coalesce(list_dot_product(v, {_Q}), 0), 6) AS score FROM c LEFT JOIN v_vec ON vec_id = c.page_id)
+z AS (SELECT c.page_id, match_count, round(match_count + coalesce(list_dot_product(v, {_Q}), 0), 6) AS score FROM c LEFT JOIN v_page_vec USING (page_id))
 SELECT *, row_number() OVER (ORDER BY score DESC, page_id)::INT AS rank FROM z ORDER BY score DESC, page_id LIMIT 10""")
 def r8_graph_first(spark: SparkSession, d: str) -> DataFrame:
     return Q.graph_first(corpus(spark, d), ["ring", "gear"], S.first_vector(spark, d))

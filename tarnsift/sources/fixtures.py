@@ -36,6 +36,9 @@ VIEWS: dict[str, str] = {
            unnest(range(0, len(string_split(extracted_text, chr(10))))) AS p FROM v_page)
         WHERE length(regexp_replace(text, '^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$', '', 'g')) >= 40)""",
     "v_vec": "SELECT vec_id, vec_id AS chunk_id, vec_id // 5 AS page_id, embedding::DOUBLE[] AS v, label FROM embeddings",
+    "v_page_vec": """
+      SELECT page_id, list(x ORDER BY i) AS v FROM (SELECT page_id, i, avg(x) AS x FROM
+        (SELECT page_id, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM v_vec) GROUP BY 1, 2) GROUP BY 1""",
     "v_html": """
       SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(html,
         '(?s)<script.*?</script>', ' ', 'g'), '(?s)<style.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g') AS extracted_text
@@ -45,6 +48,9 @@ VIEWS: dict[str, str] = {
     "v_mention": """
       SELECT l_orderkey AS page_id, l_partkey AS entity_key, count(*)::BIGINT AS support_count,
         min(l_returnflag) AS context FROM lineitem GROUP BY 1, 2""",
+    "v_typed_mention": """
+      SELECT *, CASE context WHEN 'A' THEN 'MENTIONS_MATERIAL' WHEN 'N' THEN 'REFERENCES_STANDARD' ELSE 'DESCRIBES_PROCESS' END AS type
+      FROM v_mention""",
     "v_governed_by": "SELECT l_partkey AS src, l_suppkey AS dst, count(*)::BIGINT AS support_count FROM lineitem GROUP BY 1, 2",
     "v_references": """
       SELECT 'S' || s_suppkey AS src, 'N' || s_nationkey AS dst FROM supplier
@@ -90,20 +96,23 @@ def with_views(body: str) -> str:
     return f"WITH {views}\n{body}"
 
 
-def document(spark: SparkSession, d: str) -> DataFrame:
+def document(spark: SparkSession, d: str, docs: DataFrame | None = None) -> DataFrame:
+    """Documents, of the table or of some of its files (``docs``, with their uri)."""
     t = F.col("text")
-    return table(spark, d, "documents").select(
+    docs = table(spark, d, "documents") if docs is None else docs
+    return docs.select(
         "doc_id", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("title"),
         F.sha2(t, 256).alias("file_hash"), F.col("source").alias("collection"), F.col("lang").alias("category"),
         "text", "n_chars", F.expr("(size(split(text, '\n', -1)) + 4) div 5").alias("page_count"),
-        F.octet_length(t).cast("long").alias("file_size_bytes"),
+        F.octet_length(t).cast("long").alias("file_size_bytes"), *[c for c in ("uri",) if c in docs.columns],
     )
 
 
-def page(spark: SparkSession, d: str) -> DataFrame:
+def page(spark: SparkSession, d: str, docs: DataFrame | None = None) -> DataFrame:
     """Pages of five lines, cut within each document's row."""
-    keys = ["doc_id", "file_hash", "title", "collection", "category"]
-    lines = document(spark, d).select(*keys, "page_count", F.split("text", "\n", -1).alias("ls"))
+    rows = document(spark, d, docs)
+    keys = ["doc_id", "file_hash", "title", "collection", "category", *[c for c in ("uri",) if c in rows.columns]]
+    lines = rows.select(*keys, "page_count", F.split("text", "\n", -1).alias("ls"))
     parts = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("page_count") - 1),
         lambda i: F.array_join(F.slice("ls", (i * 5 + 1).cast("int"), 5), "\n"),
@@ -140,6 +149,12 @@ def vec(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def page_vec(spark: SparkSession, d: str) -> DataFrame:
+    """A vector for each page: the mean of its chunks'."""
+    at = vec(spark, d).select("page_id", F.posexplode("v").alias("i", "x")).groupBy("page_id", "i").agg(F.avg("x").alias("x"))
+    return at.groupBy("page_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda z: z["x"]).alias("v"))
+
+
 def html(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("html")
     for pattern in ("(?s)<script.*?</script>", "(?s)<style.*?</style>", "<[^>]*>"):
@@ -166,6 +181,11 @@ def mention(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def typed_mention(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("context") == "A", "MENTIONS_MATERIAL").when(F.col("context") == "N", "REFERENCES_STANDARD")
+    return mention(spark, d).withColumn("type", kind.otherwise("DESCRIBES_PROCESS"))
+
+
 def governed_by(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).agg(
         F.count("*").alias("support_count")

@@ -6,25 +6,23 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: list[str] = []
-_kept: dict[tuple, object] = {}
 
 
-def _at(spark: SparkSession, path: str):
+def hadoop(spark: SparkSession, path: str):
     """Hadoop's file system and path of ``path``."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the one that driver and executors share; it goes when the driver ends.
+def folder_of(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
 
-    A cluster names the shared one in ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, a temporary folder is made; the session's settings stay as they are.
+    A cluster names it in ``spark.checkpoint.dir``, and must. Only where that is unset on one
+    machine, as in tests, a temporary folder is made; the session's settings stay as they are.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -32,12 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = jdir.get() if jdir.isDefined() else None
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _own_folder:
             _own_folder.append(tempfile.mkdtemp(prefix="tarnsift-"))
             atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
         base = f"file://{_own_folder[0]}"
-    path = f"{base.rstrip('/')}/tarnsift-{uuid.uuid4().hex}"
-    fs, p = _at(spark, path)
+    return base.rstrip("/")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder under the shared one; it goes when the driver ends."""
+    path = f"{folder_of(spark)}/tarnsift-{uuid.uuid4().hex}"
+    fs, p = hadoop(spark, path)
     fs.mkdirs(p)
     fs.deleteOnExit(p)
     return path
@@ -46,7 +52,7 @@ def shared_dir(spark: SparkSession) -> str:
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete tables that nothing reads any more."""
     for path in paths:
-        fs, p = _at(spark, path)
+        fs, p = hadoop(spark, path)
         fs.delete(p, True)
 
 
@@ -54,15 +60,3 @@ def stage(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as a Parquet table at ``path`` and read it back: lineage ends there."""
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def once(spark: SparkSession, name: str, source: str, make: Callable[[str], object]) -> object:
-    """What ``make`` makes in a new shared folder, made once for ``source`` (a table's path) as
-    its files stand: of other lengths or times, it is made anew."""
-    fs, p = _at(spark, source)
-    files = fs.listStatus(p)
-    stand = tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
-    key = (spark.sparkContext.applicationId, name, stand)
-    if key not in _kept:
-        _kept[key] = make(shared_dir(spark))
-    return _kept[key]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tarnsift.operators import basic as B
 from tarnsift.operators import community as M
+from tarnsift.operators import search as Q
 from tarnsift.operators import graph as G
 from tarnsift.operators import retrieval as R
 from tarnsift.operators import upsert as U
@@ -78,12 +79,63 @@ def test_crowded_entities_are_projected_in_blocks(spark, monkeypatch):
     assert got == want
 
 
-def test_terms_of_a_request_are_bounded(spark):
-    e = spark.createDataFrame([(1, "Small Ring", None), (2, "gear", ["Big RING"])], "entity_key long, name string, common_names array<string>")
-    t = spark.createDataFrame([("ring",), ("RING",), ("gear",)], "term string")
-    assert sorted((r.entity_key, r.term) for r in B.term_join(e, t).collect()) == [(1, "ring"), (2, "gear"), (2, "ring")]
-    with pytest.raises(ValueError):
-        B.term_join(e, t, most=1)
+def test_terms_of_any_number_and_length_meet_the_names_they_are_part_of(spark):
+    e = spark.createDataFrame([(1, "Small Ring", None), (2, "gear", ["Big RING", None]), (3, None, None), (4, "ab", []), (4, "ab", [])], "entity_key long, name string, common_names array<string>")
+    t = spark.createDataFrame([("ring",), ("RING",), ("gear",), ("a",), ("",), (None,), ("zzz",), ("AB",)], "term string")
+    got = sorted((r.entity_key, r.term) for r in B.term_join(e, t).collect())
+    names = {1: ["small ring"], 2: ["gear", "big ring"], 3: [], 4: ["ab"]}
+    want = [(k, x) for k in (1, 2, 3, 4, 4) for x in ("ring", "gear", "a", "", "zzz", "ab") if any(x in n for n in names[k])]
+    assert got == sorted(want)
+
+
+def test_many_terms_are_joined_by_pieces(spark):
+    r = random.Random(6)
+    word = lambda n: "".join(r.choices("abcdé 1", k=n))
+    names = [(k, word(r.randint(0, 12)), [word(r.randint(0, 9)) for _ in range(r.randint(0, 2))]) for k in range(400)]
+    terms = {word(r.randint(1, 6)) for _ in range(16_000)}
+    assert len(terms) > 5000
+    e = spark.createDataFrame(names, "entity_key long, name string, common_names array<string>")
+    found = B.term_join(e, spark.createDataFrame([(t.upper(),) for t in terms], "term string").repartition(3))
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    want = sorted((k, t) for k, n, more in names for t in terms if any(t in x for x in (n, *more)))
+    assert sorted((r.entity_key, r.term) for r in found.collect()) == want and len(want) > 3000
+
+
+def walked(edges, start, depth, limit=500):
+    """All paths of edges used once each, by hand."""
+    near = {}
+    for a, b, rel in edges:
+        i = f"{a}~{rel}~{b}"
+        near.setdefault(a, set()).add((b, rel, i))
+        near.setdefault(b, set()).add((a, rel, i))
+    found, ends = set(), {(start, (), ())}
+    for k in range(1, depth + 1):
+        ends = {(b, ids + (i,), path + (rel,)) for n, ids, path in ends for b, rel, i in near.get(n, ()) if i not in ids}
+        found |= {(k, n, ">".join(path)) for n, _, path in ends if n != start}
+    return [(n, path, k) for k, n, path in sorted(found)][:limit]
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_exploring_finds_the_first_paths_of_all(spark, depth):
+    r = random.Random(11)
+    edges = [(f"n{r.randrange(14)}", f"n{r.randrange(14)}", r.choice("xy")) for _ in range(30)] + [("n0", "n0", "x"), ("n0", "n1", "y"), ("n0", "n1", "y")]
+    e = spark.createDataFrame(edges, "src string, dst string, rel string")
+    for limit in (3, 20, 5000):
+        assert [tuple(x) for x in G.explore(e, "n0", depth, limit).collect()] == walked(edges, "n0", depth, limit)
+    assert G.explore(e, "nowhere", depth).count() == 0
+
+
+def test_a_hub_is_cut_before_it_multiplies(spark):
+    """A hub of 100,000 neighbours, each with another hub of as many."""
+    hub = spark.range(100_000).selectExpr("'hub' AS src", "concat('p', id) AS dst", "'r' AS rel")
+    far = spark.range(100_000).selectExpr("concat('p', id) AS src", "'other' AS dst", "'r' AS rel")
+    e = hub.unionByName(far).unionByName(spark.createDataFrame([("a", "hub", "r")], "src string, dst string, rel string"))
+    got = [tuple(x) for x in G.explore(e, "a", 3, 500).collect()]
+    names = sorted(f"p{k}" for k in range(100_000))[:499]
+    assert got == [("hub", "r", 1), *[(n, "r>r", 2) for n in names]]
+    got = [tuple(x) for x in G.explore(e, "hub", 3, 200).collect()]
+    assert got == sorted([("a", "r", 1), *[(f"p{k}", "r", 1) for k in range(100_000)]])[:200]
 
 
 def test_communities_do_not_depend_on_partitions(spark):
@@ -101,8 +153,8 @@ def test_modularity_is_that_of_the_whole_graph(spark):
     assert [tuple(r)[1:] for r in got.collect()] == [(12, 1)] * 20
 
 
-@pytest.mark.parametrize("most", [400, 1])
-def test_components_too_large_for_a_task_are_joined_to_smaller_ones(spark, most):
+@pytest.mark.parametrize("most", [700, 200, 20])
+def test_components_too_large_for_a_task_are_moved_by_several(spark, most):
     r = random.Random(5)
     group = {n: n % 8 for n in range(120)}
     edges = [(a, b, r.randint(1, 3)) for a, b in combinations(range(120), 2) if r.random() < (0.5 if group[a] == group[b] else 0.02)]
@@ -114,11 +166,58 @@ def test_components_too_large_for_a_task_are_joined_to_smaller_ones(spark, most)
     e = spark.createDataFrame(edges, "src long, dst long, weight long")
     whole, cut = (
         {r.page_id: r.community_id for r in M.detect(e.repartition(p), resolutions=(1.0,), min_size=1, most=m).collect()}
-        for p, m in ((1, M.MAX_EDGES), (3, most))
+        for p, m in ((1, M.TASK_EDGES), (3, most))
     )
     assert set(whole) == set(cut) == set(adj)
     assert len(set(M._in_one_piece(cut, adj).values())) == len(set(cut.values()))
-    assert modularity(cut, edges, 1.0) >= modularity(whole, edges, 1.0) * 0.95
+    assert modularity(cut, edges, 1.0) >= modularity(whole, edges, 1.0) * 0.98
+
+
+def corpus(spark):
+    """Chunks 100 to 104 of pages 1 to 3; page 9 has no chunk."""
+    v = [(100, 1, [1.0, 0.0]), (101, 1, [0.0, 1.0]), (102, 2, [0.8, 0.6]), (103, 3, [0.0, 1.0])]
+    words = [(1, ["steel", "pipe"]), (2, ["steel", "plate"]), (3, ["copper"]), (9, ["steel", "pipe", "bend"])]
+    ents = [(7, "Steel 4140", ["ring"]), (8, "Steel 1018", None), (9, "Copper", [])]
+    links = [(1, 7, "MENTIONS_MATERIAL"), (1, 8, "REFERENCES_STANDARD"), (2, 8, "MENTIONS_MATERIAL"), (9, 7, "DESCRIBES_PROCESS"), (3, 9, "LOCATED_IN")]
+    return Q.Corpus(
+        vecs=spark.createDataFrame(v, "chunk_id long, page_id long, v array<double>"),
+        pages=spark.createDataFrame(words, "page_id long, tokens array<string>"),
+        mentions=spark.createDataFrame(links, "page_id long, entity_key long, type string"),
+        entities=spark.createDataFrame(ents, "entity_key long, name string, common_names array<string>"),
+        membership=spark.createDataFrame([(1, "c1"), (1, "c2")], "page_id long, community_id string"),
+        page_vecs=spark.createDataFrame([(1, [0.6, 0.8]), (2, [1.0, 0.0])], "page_id long, v array<double>"),
+    )
+
+
+def test_graph_first_takes_the_page_s_own_vector(spark):
+    got = Q.graph_first(corpus(spark), ["steel"], [1.0, 0.0]).collect()
+    assert [(r.page_id, r.match_count, r.score) for r in got] == [(1, 2, 2.6), (2, 1, 2.0), (9, 1, 1.0)]
+    assert [(r.page_id, r.score) for r in Q.graph_first(corpus(spark), ["steel"], [1.0, 0.0], pool=20_000).collect()] == [(1, 2.6), (2, 2.0), (9, 1.0)]
+
+
+def test_vector_first_has_the_type_of_each_edge(spark):
+    got = {r.page_id: r for r in Q.vector_first(corpus(spark), [1.0, 0.0]).collect()}
+    assert [tuple(e) for e in got[1].entities] == [("MENTIONS_MATERIAL", "Steel 4140"), ("REFERENCES_STANDARD", "Steel 1018")]
+    assert got[1].communities == ["c1", "c2"] and got[3].entities is None and got[3].communities is None
+
+
+def test_visual_search_falls_back_to_words(spark):
+    c = corpus(spark)
+    assert [r.page_id for r in Q.visual(c, [1.0, 0.0], [[1.0, 0.0]], query="steel pipe").collect()] == [1, 2, 3]
+    # None of the chunks' pages has vectors of its own.
+    c.page_tokens = spark.createDataFrame([(9, [1.0, 0.0]), (9, [0.0, 1.0]), (8, [1.0, 0.0])], "page_id long, v array<double>")
+    assert Q.visual(c, [1.0, 0.0], [[1.0, 0.0]]).count() == 0
+    got = Q.visual(c, [1.0, 0.0], [[1.0, 0.0], [0.6, 0.8]], query="steel pipe").collect()
+    assert [(r.page_id, r.score) for r in got] == [(9, 1.8)]
+    assert [r.page_id for r in Q.visual(c, [1.0, 0.0], [[1.0, 0.0]], query="a copper bend somewhere").collect()] == [9]
+    assert Q.visual(c, [1.0, 0.0], [[1.0, 0.0]], query="pipe steel").count() == 0
+
+
+def test_repeated_chunk_ids_are_settled(spark):
+    schema = "chunk_id string, page_number long, chunk_index long, text string"
+    old = spark.createDataFrame([("a", 1, 0, "x"), ("a", 1, 0, "x"), ("b", 1, 1, "y")], schema)
+    new = spark.createDataFrame([("a", 9, 9, "z"), ("a", 8, 9, "w"), ("c", 2, 0, "v"), ("c", 2, 0, "v")], schema)
+    assert sorted(map(tuple, U.chunks(old, new).collect())) == [("a", 1, 0, "w"), ("b", 1, 1, "y"), ("c", 2, 0, "v")]
 
 
 def test_no_edges_no_communities(spark):

@@ -34,4 +34,4 @@ def test_equals_sql(name, spark, con, sf):
 
 
 def test_every_query_has_sql_but_detection_and_random_numbers():
-    assert set(QUERIES) - set(SQL) == {"g14_detect", "x24_projection"}
+    assert set(QUERIES) - set(SQL) == {"a20_late_top", "g14_detect", "s5_ann", "x24_projection"}
