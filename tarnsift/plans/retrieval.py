@@ -85,10 +85,6 @@ def texts(spark: SparkSession, d: str) -> Q.Corpus:
     return c
 
 
-def line_pages(spark: SparkSession, d: str) -> DataFrame:
-    return S.page(spark, d).select("page_id", "title", "page_number", "extracted_text", X.tokens(F.col("extracted_text")).alias("tokens"))
-
-
 def corpus(spark: SparkSession, d: str) -> Q.Corpus:
     v = S.vec(spark, d)
     chunks, pages = fused(spark, d)
@@ -154,7 +150,10 @@ z AS (SELECT t.*, s, (SELECT query FROM v_query WHERE item_id = 0) AS q FROM c J
 y AS (SELECT *, strpos(lower(extracted_text), lower(q)) AS a FROM z)
 SELECT page_id, title, page_number, 1.0::DOUBLE AS score, s AS ft_score, {context_sql('extracted_text', 'a', 'length(q)')} AS snippet FROM y""")
 def r1_keyword(spark: SparkSession, d: str) -> DataFrame:
-    pages = line_pages(spark, d)
+    def pages(ids: list[int]) -> DataFrame:
+        docs = table(spark, d, "documents").where(F.col("doc_id").isin(sorted({i // 100_000 for i in ids})))
+        return S.page(spark, d, docs).select("page_id", "title", "page_number", "extracted_text")
+
     return Q.keyword(pages, S.first_query(spark, d), index=text_index(spark, d, "pages"))
 
 

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnsift.operators import retrieval as R
+from tarnsift.operators import textindex
 from tarnsift.operators.textindex import TextIndex
 from tarnsift.operators.vectorindex import VectorIndex
 from tarnsift.plans.all import QUERIES
@@ -68,7 +69,13 @@ def written(root):
     return {p: p.stat().st_mtime_ns for p in Path(root).rglob("*") if p.is_file()}
 
 
-def test_text_index_follows_its_files(spark, tmp_path):
+@pytest.fixture(autouse=True)
+def never_whole(monkeypatch):
+    """Ranges are chosen by their bounds however few there are."""
+    monkeypatch.setattr(textindex, "WHOLE", 0)
+
+
+def test_text_index_follows_its_files(spark, tmp_path, monkeypatch):
     folder, root = tmp_path / "docs", tmp_path / "index"
     folder.mkdir()
     write(spark, folder, "a", 1, 0, 700)
@@ -76,6 +83,9 @@ def test_text_index_follows_its_files(spark, tmp_path):
     index, df = index_of(spark, str(folder), str(root))
     assert (index.n, index.mean) == (1000, pytest.approx(df.agg(F.avg(F.size("tokens"))).first()[0]))
     check(spark, index, df)
+    with monkeypatch.context() as m:
+        m.setattr(textindex, "WHOLE", 16)
+        check(spark, index, df, most=2)
     before = written(root)
     index_of(spark, str(folder), str(root))
     assert written(root) == before
