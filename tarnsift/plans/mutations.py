@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarnsift.functions import clean as C
 from tarnsift.operators import canonical as K
 from tarnsift.operators import jobs as J
+from tarnsift.operators import schema as H
 from tarnsift.operators import upsert as U
 from tarnsift.plans.registry import query
 from tarnsift.plans.relational import _CLASSIFY, _QTY, canonical_sql, strip_sql
@@ -287,3 +288,28 @@ def m18_backfill(spark: SparkSession, d: str) -> DataFrame:
     p = S.page(spark, d).select("page_id", "doc_id", F.when(F.col("page_id") % 3 > 0, F.col("page_id") % 2 == 0).alias("is_blank"), F.col("page_id").alias("vectors"), "extracted_text")
     filled = U.backfill(p, "is_blank", F.length("extracted_text") < 20)
     return U.clear_when(filled, "vectors", F.col("doc_id") % 4 == 0).na.fill(-1, ["vectors"]).select("page_id", "is_blank", "vectors")
+
+
+#: Rules by table: those of a graph's nodes and edges, over the tables that stand for them.
+SCHEMA = {
+    "document": (H.Rule("unique", ("file_hash",)), H.Rule("required", ("doc_id", "file_hash", "collection")), H.Rule("values", ("category",), ("en", "fr"))),
+    "material": (H.Rule("unique", ("entity_key",)), H.Rule("required", ("name", "material_type")), H.Rule("type", ("uns_number",), "int")),
+    "line": (H.Rule("unique", ("l_orderkey", "l_linenumber")), H.Rule("values", ("l_returnflag",), ("A", "N")), H.Rule("type", ("l_linestatus",), "int")),
+}
+_REPEATED = "(SELECT coalesce(sum(n), 0)::BIGINT FROM (SELECT count(*) AS n FROM {0} GROUP BY {1} HAVING count(*) > 1))"
+
+
+@query(f"""
+SELECT 'document' AS kind, 'unique(file_hash)' AS rule, {_REPEATED.format('v_document', 'file_hash')} AS n
+UNION ALL SELECT 'document', 'required(doc_id, file_hash, collection)', count(*) FROM v_document WHERE doc_id IS NULL OR file_hash IS NULL OR collection IS NULL
+UNION ALL SELECT 'document', 'values(category)', count(*) FROM v_document WHERE category NOT IN ('en', 'fr')
+UNION ALL SELECT 'material', 'unique(entity_key)', {_REPEATED.format('v_variant', 'entity_key')}
+UNION ALL SELECT 'material', 'required(name, material_type)', count(*) FROM v_variant WHERE name IS NULL OR material_type IS NULL
+UNION ALL SELECT 'material', 'type(uns_number)', count(*) FROM v_variant WHERE uns_number IS NOT NULL AND try_cast(uns_number AS INT) IS NULL
+UNION ALL SELECT 'line', 'unique(l_orderkey, l_linenumber)', {_REPEATED.format('lineitem', 'l_orderkey, l_linenumber')}
+UNION ALL SELECT 'line', 'values(l_returnflag)', count(*) FROM lineitem WHERE l_returnflag NOT IN ('A', 'N')
+UNION ALL SELECT 'line', 'type(l_linestatus)', count(*) FROM lineitem WHERE try_cast(l_linestatus AS INT) IS NULL""")
+def m19_schema(spark: SparkSession, d: str) -> DataFrame:
+    tables = {"document": S.document(spark, d), "material": S.variant(spark, d), "line": table(spark, d, "lineitem")}
+    parts = [H.report(df, SCHEMA[kind]).select(F.lit(kind).alias("kind"), "rule", "n") for kind, df in tables.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -12,9 +12,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnsift.operators.chunks import line_chunks
 from tarnsift.sources.tables import table
 
-TRIM = "^[ \\t\\n\\r\\f\\x0B]+|[ \\t\\n\\r\\f\\x0B]+$"
 TOKEN = "[^\\p{L}\\p{N}]+"
 
 VIEWS: dict[str, str] = {
@@ -124,20 +124,6 @@ def page(spark: SparkSession, d: str, docs: DataFrame | None = None) -> DataFram
     )
 
 
-def line_chunks(pages: DataFrame, least: int = 40) -> DataFrame:
-    """Lines of at least ``least`` characters as chunks, numbered from 0 in their page after
-    shorter ones are dropped, with ids from hash, page, number and the first 200 characters."""
-    kept = F.filter(F.split("extracted_text", "\n", -1), lambda x: F.length(F.regexp_replace(x, TRIM, "")) >= least)
-    keys = [c for c in pages.columns if c != "extracted_text"]
-    rows = pages.select(*keys, F.posexplode(kept).alias("i", "text")).withColumn("chunk_index", F.col("i").cast("long"))
-    bar = F.lit("|")
-    tag = F.concat(
-        F.col("file_hash"), bar, F.col("page_number").cast("string"), bar, F.col("chunk_index").cast("string"), bar,
-        F.substring("text", 1, 200),
-    )
-    return rows.select(*keys, "chunk_index", "text", F.concat(F.lit("ch_"), F.substring(F.sha1(tag), 1, 20)).alias("chunk_id"))
-
-
 def chunk(spark: SparkSession, d: str) -> DataFrame:
     return line_chunks(page(spark, d))
 
