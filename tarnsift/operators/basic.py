@@ -90,6 +90,11 @@ def collections(docs: DataFrame) -> DataFrame:
     )
 
 
+def placed(df: DataFrame, *order: Column | str) -> DataFrame:
+    """``df``, which a limit has cut to few rows, with each row's place in ``order``."""
+    return df.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
 def mention_counts(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     """Every entity with the number of pages that mention it, counted before the join."""
     n = mentions.groupBy("entity_key").agg(F.countDistinct("page_id").alias("page_mentions"))

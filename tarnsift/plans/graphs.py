@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarnsift.operators import basic as B
 from tarnsift.operators import community as M
 from tarnsift.operators import graph as G
+from tarnsift.operators import search as Q
 from tarnsift.plans.registry import query
 from tarnsift.sources import fixtures as S
 from tarnsift.sources.tables import table
@@ -275,3 +276,29 @@ def g16_summary_vector(spark: SparkSession, d: str) -> DataFrame:
     s = F.expr("CASE WHEN s_suppkey % 3 = 0 THEN '' WHEN s_suppkey % 3 = 1 THEN NULL ELSE 'x' END")
     v = M.summary_vector(s, F.array(F.lit(1.0), F.lit(2.0)), 2)
     return table(spark, d, "supplier").select("s_suppkey", F.array_join(v.cast("array<string>"), "|").alias("v"))
+
+
+@query(f"""
+WITH a AS (SELECT 'M' || src AS name, 'S' || dst AS hop FROM v_governed_by WHERE src < 20),
+z AS (SELECT DISTINCT {_CHAIN} AS chain FROM (SELECT name, a.hop, r.dst AS hop2 FROM a LEFT JOIN v_references r ON r.src = a.hop) ORDER BY 1 LIMIT 5),
+m AS (SELECT entity_key, count(DISTINCT page_id) AS hits FROM v_mention WHERE page_id < 200 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6),
+g AS (SELECT dst, sum(support_count) AS hits FROM v_governed_by WHERE src < 20 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6),
+t AS (SELECT collection, count(*) AS n FROM v_document GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 2)
+SELECT 0 AS part, row_number() OVER (ORDER BY chain)::INT AS place, '  • ' || chain AS line FROM z
+UNION ALL SELECT 1, 1, 'Related materials: ' || string_agg('M' || entity_key, ', ' ORDER BY hits DESC, entity_key) FROM m
+UNION ALL SELECT 2, 1, 'Related standards: ' || string_agg('S' || dst, ', ' ORDER BY hits DESC, dst) FROM g
+UNION ALL SELECT 3, row_number() OVER (ORDER BY n DESC, collection)::INT, '  ' || substr(collection || ' has ' || n || ' documents', 1, 300) FROM t""")
+def r11_graph_lines(spark: SparkSession, d: str) -> DataFrame:
+    seeds = spark.range(20).selectExpr("'M' || id AS name", "'Material' AS label")
+    governed = S.governed_by(spark, d).where("src < 20")
+    first = governed.selectExpr("'M' || src AS name", "'GOVERNED_BY' AS rel", "'S' || dst AS hop", "'Standard' AS hop_label")
+    second = S.references(spark, d).selectExpr("src AS hop", "'REFERENCES' AS rel2", "dst AS hop2", "'Clause' AS hop2_label")
+    chains = G.two_hop(seeds, first, second, 1_000_000).select(F.lit(0).alias("place"), "chain").distinct()
+    hits = G.seed_entities(S.mention(spark, d), spark.range(200).withColumnRenamed("id", "page_id"), 6)
+    names = {
+        "materials": B.placed(hits, F.desc("page_hits"), "entity_key").selectExpr("place", "'M' || entity_key AS name"),
+        "standards": B.placed(governed.groupBy("dst").agg(F.sum("support_count").alias("n")).orderBy(F.desc("n"), "dst").limit(6), F.desc("n"), "dst").selectExpr("place", "'S' || dst AS name"),
+    }
+    groups = S.document(spark, d).groupBy("collection").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "collection").limit(2)
+    topics = B.placed(groups, F.desc("n"), "collection").selectExpr("place", "collection || ' has ' || n || ' documents' AS summary")
+    return Q.graph_lines(chains, names, topics)

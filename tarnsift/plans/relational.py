@@ -10,6 +10,7 @@ from tarnsift.functions import text as X
 from tarnsift.functions import vectors as V
 from tarnsift.operators import basic as B
 from tarnsift.operators import chunks as K
+from tarnsift.operators import search as Q
 from tarnsift.plans.registry import query
 from tarnsift.sources import fixtures as S
 from tarnsift.sources.tables import image_file, image_path, orphans, table
@@ -726,8 +727,8 @@ def x28_first_object(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", X.first_json_object(fence).alias("object"))
 
 
-@query(r"""
-WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<head>.*?</head>', '', 'g'),
+STRUCTURAL = r"""
+a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<head>.*?</head>', '', 'g'),
     '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'), '<br[^>]*>', ' ', 'g'), '</?(a|b|i|em|strong|span|meta|!DOCTYPE)([ ][^>]*)?>', '', 'g') AS h FROM pages),
 t AS (SELECT page_id, unnest(regexp_extract_all(h, '<(/?[a-z0-9]+)[^>]*>([^<]*)', 1)) AS tag, unnest(regexp_extract_all(h, '<(/?[a-z0-9]+)[^>]*>([^<]*)', 2)) AS raw,
   unnest(range(0, len(regexp_extract_all(h, '<(/?[a-z0-9]+)[^>]*>([^<]*)', 1)))) AS i FROM a),
@@ -736,9 +737,23 @@ x AS (SELECT page_id, i, CASE tag WHEN 'h1' THEN 'heading' WHEN 'li' THEN 'list'
 k AS (SELECT * FROM x WHERE text <> '' AND (chunk_type <> 'text' OR length(text) >= 40)),
 s AS (SELECT *, (row_number() OVER w - 1)::INT AS chunk_index,
   last_value(CASE WHEN chunk_type = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above
-  FROM k WINDOW w AS (PARTITION BY page_id ORDER BY i))
+  FROM k WINDOW w AS (PARTITION BY page_id ORDER BY i))"""
+
+
+@query(f"""WITH {STRUCTURAL}
 SELECT page_id, chunk_index, chunk_type, CASE WHEN chunk_type = 'heading' THEN '' ELSE coalesce(above, '') END AS section, text FROM s""")
 def s11_structural(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page_number"), "html")
     got = K.structural(pages)
     return got.select(F.col("doc_id").alias("page_id"), "chunk_index", "chunk_type", F.array_join("section_path", " / ").alias("section"), "text")
+
+
+@query(f"""WITH {STRUCTURAL}
+SELECT page_id, chunk_index, concat_ws(chr(10), CASE WHEN length(text) > 300 THEN 'Relevant chunk summary: ' || substr(text, 1, 240) END,
+  CASE WHEN chunk_type <> 'heading' AND above IS NOT NULL THEN 'Section: ' || above END, CASE WHEN chunk_type <> 'text' THEN 'Chunk type: ' || chunk_type END) AS hint FROM s""")
+def r11_chunk_hints(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page_number"), "html")
+    got = K.structural(pages)
+    summary = F.when(F.length("text") > 300, F.substring("text", 1, 240))
+    hint = Q.chunk_hint(summary, F.col("section_path"), F.col("chunk_type"))
+    return got.select(F.col("doc_id").alias("page_id"), "chunk_index", hint.alias("hint"))
