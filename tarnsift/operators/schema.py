@@ -2,7 +2,7 @@
 
 Every row gets the names of the rules that it breaks. One write sends rows that break none to the
 table and the others aside, and counts by rule are observed metrics of that write, so they cost
-no pass of their own; only keys do, which are counted by a grouping. All rows of a repeated key break
+no pass of their own; only keys do, which are counted by a grouping. A report alone doesn't join them back. All rows of a repeated key break
 its rule; a key with a null field is left to ``required``.
 """
 
@@ -60,8 +60,16 @@ def flagged(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 def report(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """rule and the number of rows that break it, a row for each of ``rules``."""
-    counts = [F.count(F.when(F.array_contains("violations", r.name), 1)).alias(f"n{k}") for k, r in enumerate(rules)]
-    one = flagged(df, rules).agg(*counts)
+    # No row needs its key's count back: repeated keys are counted by themselves, and each of the parts
+    # joined is one row.
+    plain = [F.count(F.when(_breaks(r), 1)).alias(f"n{k}") for k, r in enumerate(rules) if r.kind != "unique"]
+    one = df.agg(F.count(F.lit(1)).alias("rows"), *plain)
+    for k, r in enumerate(rules):
+        if r.kind == "unique":
+            cols = [F.col(f"`{c}`") for c in r.columns]
+            keys = df.select(*cols).where(reduce(lambda a, b: a & b, [c.isNotNull() for c in cols]))
+            again = keys.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+            one = one.crossJoin(F.broadcast(again.agg(F.coalesce(F.sum("__n"), F.lit(0)).cast("long").alias(f"n{k}"))))
     return one.select(F.inline(F.array(*[F.struct(F.lit(r.name).alias("rule"), F.col(f"n{k}").alias("n")) for k, r in enumerate(rules)])))
 
 
